@@ -1,0 +1 @@
+"""Intentionally empty: the feature set covered here has no streaming operator."""
