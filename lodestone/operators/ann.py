@@ -43,14 +43,14 @@ INDEX_DEFAULTS = {
 
 
 def _append(frame: DataFrame, field: T.StructField, compute) -> DataFrame:
-    """Add one column computed from whole Arrow batches."""
+    """Add or replace one column computed from whole Arrow batches."""
     kept = [f for f in frame.schema.fields if f.name != field.name]
-    frame = frame.select(*[f.name for f in kept])
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, compute(batch)], names=[*batch.schema.names, field.name]
+                [*(batch.column(n) for n in names), compute(batch)], names=[*names, field.name]
             )
 
     return frame.mapInArrow(run, T.StructType([*kept, field]))
@@ -237,8 +237,9 @@ class VectorIndex:
         found = nearest(
             queries, self.items, k, query_id=query_id, query_vector=query_vector,
             item_id=self.item_id, item_vector=self.item_vector, on=on,
-            decode=self._decoder(), normalize=not isinstance(self.codec, SignCodec), **options,
-        )
+            decode=self._decoder(), decode_from=("code", "cell") if on else ("code",),
+            normalize=not isinstance(self.codec, SignCodec), **options,
+        ).drop("cell")
         if isinstance(self.codec, SignCodec):
             bits = len(self.codec.planes)
             found = found.withColumn("score", (F.col("score") - bits) / 2)

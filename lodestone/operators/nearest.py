@@ -112,6 +112,7 @@ def nearest(
     on: str | None = None,
     per_group: bool = False,
     decode: Decoder | None = None,
+    decode_from: tuple[str, ...] = (),
     normalize: bool = True,
     exclude_self: bool = False,
     strategy: str = "auto",
@@ -121,8 +122,8 @@ def nearest(
     ``on`` restricts each query row to items of the same group; a query may
     appear once per group it visits. ``per_group`` ranks within (query, group)
     rather than over all groups of a query. ``decode`` turns a batch of items
-    into vectors when they are stored compressed. ``exclude_self`` drops the
-    item whose id equals the query id.
+    into vectors when they are stored compressed in the ``decode_from`` columns.
+    ``exclude_self`` drops the item whose id equals the query id.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -149,6 +150,8 @@ def nearest(
 
     # Fresh column ids: queries and items are often two views of one table.
     narrow = queries.select(query_id, *group, query_vector).toDF(query_id, *group, query_vector)
+    stored = decode_from if decode is not None else (item_vector,)
+    items = items.select(*dict.fromkeys([item_id, *group, *stored]))
     bounded = None
     if strategy in ("auto", "broadcast"):
         head = narrow.limit(BROADCAST_QUERY_ROWS + 1).toArrow()
