@@ -10,8 +10,7 @@ scans pairs in Python; blocks are scored by matrix products.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.arrow import with_arrow_column
 from lodestone.functions.vectors import from_matrix, to_matrix, unit_rows
 from lodestone.operators.nearest import nearest
 
@@ -42,20 +42,6 @@ INDEX_DEFAULTS = {
 }
 
 
-def _append(frame: DataFrame, field: T.StructField, compute) -> DataFrame:
-    """Add or replace one column computed from whole Arrow batches."""
-    kept = [f for f in frame.schema.fields if f.name != field.name]
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), compute(batch)], names=[*names, field.name]
-            )
-
-    return frame.mapInArrow(run, T.StructType([*kept, field]))
-
-
 def training_sample(vectors: DataFrame, item_id: str, centroids: int) -> DataFrame:
     """Hash-chosen training rows; the whole table when it is small enough."""
     wanted = centroids * TRAINING_POINTS_PER_CENTROID
@@ -129,7 +115,7 @@ def assign_cells(items: DataFrame, centroids: np.ndarray, item_vector="embedding
         scores = unit_rows(to_matrix(batch.column(item_vector))) @ centroids.T
         return pa.array(np.argmax(scores, axis=1).astype(np.int32))
 
-    return _append(items, T.StructField("cell", T.IntegerType()), compute)
+    return with_arrow_column(items, T.StructField("cell", T.IntegerType()), compute)
 
 
 def probe_cells(
@@ -143,7 +129,7 @@ def probe_cells(
         best = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
         return from_matrix(best.astype(np.int32), pa.int32())
 
-    probed = _append(queries, T.StructField("_cells", T.ArrayType(T.IntegerType())), compute)
+    probed = with_arrow_column(queries, T.StructField("_cells", T.ArrayType(T.IntegerType())), compute)
     return probed.withColumn("cell", F.explode("_cells")).drop("_cells")
 
 
@@ -215,19 +201,25 @@ class VectorIndex:
     centroids: np.ndarray | None = None
     codec: object | None = None
     nprobe: int = INDEX_DEFAULTS["nprobe"]
+    edges: DataFrame | None = None
+    options: dict = field(default_factory=dict)
 
     def search(
         self, queries: DataFrame, k: int, *, query_id="query_id", query_vector="query_embedding",
         **options,
     ) -> DataFrame:
         """Top-k items per query; LSH scores are negated Hamming distances."""
+        if self.edges is not None:
+            from lodestone.operators.graph import search_graph
+
+            return search_graph(self, queries, k, query_id=query_id, query_vector=query_vector)
         on = None
         if self.centroids is not None:
             queries = probe_cells(queries, self.centroids, self.nprobe, query_vector)
             on = "cell"
         if isinstance(self.codec, SignCodec):
             codec = self.codec
-            queries = _append(
+            queries = with_arrow_column(
                 queries,
                 T.StructField(query_vector, T.ArrayType(T.FloatType())),
                 lambda b: from_matrix(
@@ -299,7 +291,7 @@ def build_index(
 
     if index_type in ("pq", "ivf_pq"):
         if codebooks is None:
-            rest = _append(
+            rest = with_arrow_column(
                 index.items, T.StructField(item_vector, T.ArrayType(T.FloatType())),
                 lambda b: from_matrix(residual(b)),
             )
@@ -312,7 +304,7 @@ def build_index(
         index.codec = SignCodec(hyperplanes(p["lsh_nbits"], dimension))
     if index.codec is not None:
         codec = index.codec
-        index.items = _append(
+        index.items = with_arrow_column(
             index.items, T.StructField("code", T.BinaryType()),
             lambda b: _pack(codec.encode(residual(b))),
         )

@@ -1,0 +1,25 @@
+"""Lineage cuts that survive the loss of executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Write a frame to the session's checkpoint folder and read it back.
+
+    The folder comes from ``spark.checkpoint.dir``. Only a local session
+    without that setting gets a temporary one.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()
