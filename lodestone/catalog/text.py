@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query, table
+from lodestone.config import DEFAULT_RERANK_INSTRUCTION
 from lodestone.functions import text as t
 from lodestone.functions.scoring import final_score, metadata_bonus, score_band, token_overlap
 from lodestone.operators.corpus import (
@@ -18,7 +19,7 @@ from lodestone.operators.corpus import (
     language_quotas,
     running_position,
 )
-from lodestone.config import DEFAULT_RERANK_INSTRUCTION
+from lodestone.operators.partitioning import spread
 
 # The same character classes, written for the checking engine.
 SPACE, IN_LINE, BREAK, WORD = t.SPACE, t.SPACE_IN_LINE, t.LINE_BREAK, t.WORD
@@ -66,7 +67,7 @@ SPACED = "replace(text, '.', '.' || repeat(chr(10), cast(1 + doc_id % 5 as int))
 FROM documents"""
 )
 def newline_collapse(spark, sf_dir):
-    spaced = derived(table(spark, sf_dir, "documents"), text=SPACED)
+    spaced = derived(spread(table(spark, sf_dir, "documents")), text=SPACED)
     return spaced.select(
         "doc_id", F.md5(t.collapse_blank_lines(F.col("text")).cast("binary")).alias("collapsed")
     )
@@ -89,7 +90,7 @@ def cleaned_sql(text: str) -> str:
 
 @query(f"SELECT doc_id, md5({cleaned_sql('(' + COMMENT + ')')}) AS cleaned FROM documents")
 def comment_cleanup(spark, sf_dir):
-    comments = derived(table(spark, sf_dir, "documents"), text=COMMENT)
+    comments = derived(spread(table(spark, sf_dir, "documents")), text=COMMENT)
     return comments.select(
         "doc_id", F.md5(t.clean_comment(F.col("text")).cast("binary")).alias("cleaned")
     )
@@ -208,7 +209,7 @@ SELECT doc_id, len({words_sql('documentation')}) > 0 AND contains(
   ' ' || array_to_string({words_sql('documentation')}, ' ') || ' ') AS leaks FROM s"""
 )
 def documentation_leakage(spark, sf_dir):
-    pairs = derived(table(spark, sf_dir, "documents"), **LEAK)
+    pairs = derived(spread(table(spark, sf_dir, "documents")), **LEAK)
     return pairs.select(
         "doc_id", t.contains_documentation(F.col("code"), F.col("documentation")).alias("leaks")
     )
@@ -224,7 +225,7 @@ FROM documents"""
 )
 def docstring_blanking(spark, sf_dir):
     """Whole texts as docstrings: only their line breaks stay."""
-    code = derived(table(spark, sf_dir, "documents"), code=QUOTED)
+    code = derived(spread(table(spark, sf_dir, "documents")), code=QUOTED)
     doc = F.concat(F.lit('"""'), F.col("text"), F.lit('"""'))
     return code.select("doc_id", t.blank_docstring(F.col("code"), doc).alias("code"))
 
@@ -246,7 +247,7 @@ firsts AS (SELECT * FROM (
 
 def keyed_documents(spark, sf_dir):
     """Valid rows with a split and a content key. Five sources form the primary split."""
-    rows = table(spark, sf_dir, "documents").filter(F.size(t.words(F.col("text"))) >= 5)
+    rows = spread(table(spark, sf_dir, "documents")).filter(F.size(t.words(F.col("text"))) >= 5)
     primary = F.col("source").isin("src0", "src1", "src2", "src3", "src4")
     messy = derived(rows, code=MESSY)
     return messy.select(

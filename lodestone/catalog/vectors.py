@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query, table
-from lodestone.functions.vectors import l2_norm, l2_normalize, norm_stats, unit_rows
+from lodestone.functions.vectors import l2_normalize, norm_stats, unit_double, unit_rows
 from lodestone.operators.ann import assign_cells, build_index
 from lodestone.operators.metrics import METRICS, result_overlap, retrieval_metrics
 from lodestone.operators.nearest import nearest
@@ -59,7 +61,7 @@ def as_queries(items, *extra):
 
 def label_means(items) -> np.ndarray:
     """Mean unit vector per label."""
-    return mean_by_label(items.select("label", l2_normalize_double("embedding").alias("e")))
+    return mean_by_label(items.select("label", unit_double(F.col("embedding")).alias("e")))
 
 
 def mean_by_label(frame) -> np.ndarray:
@@ -73,11 +75,6 @@ def mean_by_label(frame) -> np.ndarray:
     return np.array([row["m"] for row in means.collect()])
 
 
-def l2_normalize_double(column):
-    norm = l2_norm(F.col(column))
-    return F.transform(column, lambda x: x.cast("double") / norm)
-
-
 @query(
     """SELECT count(*) AS vectors, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm,
        round(avg(n), 6) AS mean_norm
@@ -249,9 +246,9 @@ lsh AS (
 CELLED = f"{UNIT}, {CELLS}, {ASSIGNED}, {PROBED}"
 
 
-def label_index(items, kind):
+def label_index(items, kind, means=None):
     """An index whose models are the label means, so SQL can rebuild it."""
-    means = label_means(items)
+    means = label_means(items) if means is None else means
     options = {"item_id": "vec_id", "nprobe": PROBES, "centroids": unit_rows(means)}
     if kind == "pq":
         options["codebooks"] = split_words(means)
@@ -273,7 +270,7 @@ def residual_means(items, centroids) -> np.ndarray:
     )
     rest = (
         assign_cells(items, centroids)
-        .withColumn("e", l2_normalize_double("embedding"))
+        .withColumn("e", unit_double(F.col("embedding")))
         .join(F.broadcast(cells), "cell")
         .select("label", F.zip_with("e", "c", lambda a, b: a - b).alias("e"))
     )
@@ -327,14 +324,13 @@ def recall_sql() -> str:
 def ann_recall_vs_flat(spark, sf_dir):
     """Share of the exact top ten that each approximate index finds, over all vectors."""
     items = vectors(spark, sf_dir)
+    means = label_means(items)
     truth = nearest(as_queries(items), items, 10, **IDS)
-    parts = [
-        result_overlap(truth, search_all(spark, sf_dir, kind), item_id="vec_id").select(
-            F.lit(kind).alias("index_type"), "expected", "hits", F.round("recall", 6).alias("recall")
-        )
+    found = [
+        label_index(items, kind, means).search(as_queries(items), 10)
+        .withColumn("index_type", F.lit(kind))
         for kind in RECALL_KINDS
     ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    recall = result_overlap(truth, every, item_id="vec_id", by="index_type")
+    return recall.withColumn("recall", F.round("recall", 6))

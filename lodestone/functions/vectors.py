@@ -19,9 +19,20 @@ def l2_norm(vector: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit-length copy; a zero vector is returned unchanged."""
+    return F.transform(unit_double(vector), lambda x: x.cast("float"))
+
+
+def unit_double(vector: Column) -> Column:
+    """Unit-length copy in double precision.
+
+    The norm is repeated into an array first: written inside the lambda it
+    would be computed again for every component.
+    """
     norm = l2_norm(vector)
     divisor = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(vector, lambda x: (x.cast("double") / divisor).cast("float"))
+    return F.zip_with(
+        vector, F.array_repeat(divisor, F.size(vector)), lambda x, n: x.cast("double") / n
+    )
 
 
 def norm_stats(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -192,7 +192,11 @@ class SignCodec:
 
 @dataclass
 class VectorIndex:
-    """An index table with its model. ``items`` keeps every original column."""
+    """An index table with its model.
+
+    ``items`` keeps every original column. When vectors are computed on the
+    fly, ``details`` may hold the metadata columns apart from them.
+    """
 
     index_type: str
     items: DataFrame
@@ -203,6 +207,7 @@ class VectorIndex:
     nprobe: int = INDEX_DEFAULTS["nprobe"]
     edges: DataFrame | None = None
     options: dict = field(default_factory=dict)
+    details: DataFrame | None = None
 
     def search(
         self, queries: DataFrame, k: int, *, query_id="query_id", query_vector="query_embedding",
