@@ -307,6 +307,14 @@ def lsh_hamming_topk(spark, sf_dir):
     return search_all(spark, sf_dir, "lsh")
 
 
+@query(f"WITH {UNIT}, {PAIRS} {top('pairs')}")
+def hnsw_topk(spark, sf_dir):
+    """Layered graph search. The beam covers this table, so the result is exact there."""
+    items = vectors(spark, sf_dir)
+    index = build_index(items, "hnsw", item_id="vec_id", hnsw_m=8, hnsw_ef_search=512)
+    return index.search(as_queries(items), 10)
+
+
 RECALL_KINDS = {"ivf_flat": IVF_FLAT, "ivf_sq": IVF_SQ, "ivf_pq": IVF_PQ, "pq": PQ, "lsh": LSH}
 
 

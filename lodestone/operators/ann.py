@@ -52,20 +52,21 @@ def training_sample(vectors: DataFrame, item_id: str, centroids: int) -> DataFra
     return vectors.filter(F.pmod(F.xxhash64(item_id), F.lit(slots)) < int(wanted / total * slots))
 
 
-def _kmeans(frame: DataFrame, column, k: int, seed: int, measure: str) -> np.ndarray:
+def _kmeans(frame, column, k: int, seed: int, measure: str, rounds: int = 20) -> np.ndarray:
     model = (
-        KMeans(k=k, seed=seed, distanceMeasure=measure, featuresCol="_v", maxIter=20)
+        KMeans(k=k, seed=seed, distanceMeasure=measure, featuresCol="_v", maxIter=rounds)
         .fit(frame.select(array_to_vector(column).alias("_v")))
     )
     return np.array(model.clusterCenters())
 
 
 def train_centroids(
-    vectors: DataFrame, nlist: int, *, item_id="chunk_id", item_vector="embedding", seed=42
+    vectors: DataFrame, nlist: int, *, item_id="chunk_id", item_vector="embedding", seed=42,
+    rounds=20,
 ) -> np.ndarray:
     """Spherical k-means centroids, one per inverted-file cell."""
     sample = training_sample(vectors, item_id, nlist)
-    return unit_rows(_kmeans(sample, F.col(item_vector).cast("array<double>"), nlist, seed, "cosine"))
+    return unit_rows(_kmeans(sample, F.col(item_vector).cast("array<double>"), nlist, seed, "cosine", rounds))
 
 
 def train_codebooks(
