@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+SLICE_ROWS = 1_024
+
 
 def with_arrow_column(
     frame: DataFrame, field: T.StructField, compute: Callable[[pa.RecordBatch], pa.Array]
@@ -17,9 +19,12 @@ def with_arrow_column(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), compute(batch)], names=[*names, field.name]
-            )
+        for whole in batches:
+            # Small slices bound what a batch of long texts expands into.
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in names), compute(batch)], names=[*names, field.name]
+                )
 
     return frame.mapInArrow(run, T.StructType([*kept, field]))

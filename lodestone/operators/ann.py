@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,16 @@ from lodestone.operators.nearest import nearest
 # inverted files. Every row is indexed; only training is limited.
 TRAINING_POINTS_PER_CENTROID = 256
 
+# Stored metadata is split by a hash of the item id, for point lookups.
+LOOKUP = "lookup_part"
+LOOKUP_PARTS = 64
+
+
+def lookup_part(item_id: str) -> Column:
+    """Partition that holds the metadata of an item."""
+    return F.pmod(F.xxhash64(item_id), F.lit(LOOKUP_PARTS)).cast("int")
+
+
 INDEX_TYPES = ("flat", "hnsw", "ivf_flat", "ivf_pq", "ivf_sq", "pq", "lsh")
 
 # Build parameters when none are given.

@@ -21,7 +21,7 @@ from lodestone.functions.arrow import with_arrow_column
 from lodestone.functions.vectors import to_matrix, unit_rows
 from lodestone.operators.ann import VectorIndex, assign_cells, probe_cells, train_centroids
 from lodestone.operators.nearest import SCORE_SCALE, nearest
-from lodestone.plans.lineage import checkpointed
+from lodestone.operators.lineage import checkpointed
 
 EXACT_LAYER_ROWS = 20_000
 COPY_SALTS = 8

@@ -27,12 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.vectors import to_matrix, unit_rows
+from lodestone.operators.lineage import checkpointed
 
 SCORE_SCALE = 1_000_000
 BROADCAST_QUERY_ROWS = 16_384
+BROADCAST_QUERY_BYTES = 128 << 20
+PRUNED_GROUPS = 1_000
 BROADCAST_GROUPS = 65_536
 QUERY_BLOCK_ROWS = 16_384
-ITEM_BLOCK_ROWS = 65_536
+ITEM_BLOCK_ROWS = 131_072
+BLOCK_BYTES = 256 << 20
 _QUERY_STRIPE = 1_024
 _ITEM_STRIPE = 16_384
 _RANK_BITS = 24
@@ -155,12 +159,17 @@ def nearest(
     bounded = None
     if strategy in ("auto", "broadcast"):
         head = narrow.limit(BROADCAST_QUERY_ROWS + 1).toArrow()
-        if head.num_rows <= BROADCAST_QUERY_ROWS:
+        if head.num_rows <= BROADCAST_QUERY_ROWS and head.nbytes <= BROADCAST_QUERY_BYTES:
             bounded = head
         elif strategy == "broadcast":
             raise ValueError("too many queries to broadcast")
 
     if bounded is not None:
+        if on:
+            # The visited groups are known: let the scan skip the others.
+            visited = bounded.column(on).unique().to_pylist()
+            if len(visited) <= PRUNED_GROUPS:
+                items = items.filter(F.col(on).isin(visited))
         shared = queries.sparkSession.sparkContext.broadcast(
             (
                 query_matrix(bounded),
@@ -199,9 +208,11 @@ def nearest(
 
         candidates = items.mapInArrow(scan, schema)
     else:
+        # Read several times below; embedding the queries again would cost more.
+        narrow = checkpointed(narrow)
         candidates = _blocked(
             narrow, items, group, query_id, item_id, schema, names, types,
-            query_matrix, item_matrix, width,
+            query_matrix, item_matrix, width, query_vector,
         )
 
     if exclude_self:
@@ -214,9 +225,12 @@ def nearest(
 
 def _blocked(
     queries, items, group, query_id, item_id, schema, names, types,
-    query_matrix, item_matrix, width,
+    query_matrix, item_matrix, width, query_vector,
 ) -> DataFrame:
     """Score a grid of (query block, item block) pairs per group."""
+    first = queries.select(F.size(query_vector)).first()
+    per_block = max(1_024, BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
+    query_rows, item_rows = min(QUERY_BLOCK_ROWS, per_block), min(ITEM_BLOCK_ROWS, per_block)
     if group:
         queries = queries.filter(F.col(group[0]).isNotNull())
         items = items.filter(F.col(group[0]).isNotNull())
@@ -227,8 +241,8 @@ def _blocked(
         else queries.agg(F.count("*").alias("_q")).crossJoin(items.agg(F.count("*").alias("_i")))
     ).select(
         *group,
-        F.greatest(F.lit(1), F.ceil(F.col("_q") / QUERY_BLOCK_ROWS)).cast("int").alias("_q"),
-        F.greatest(F.lit(1), F.ceil(F.col("_i") / ITEM_BLOCK_ROWS)).cast("int").alias("_i"),
+        F.greatest(F.lit(1), F.ceil(F.col("_q") / query_rows)).cast("int").alias("_q"),
+        F.greatest(F.lit(1), F.ceil(F.col("_i") / item_rows)).cast("int").alias("_i"),
     )
     if group:
         # The size table has one row per group; broadcast it only after checking.

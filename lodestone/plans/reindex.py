@@ -58,7 +58,9 @@ def reindex(
     output = output or default_output(source, index_type, is_evaluation)
     if _exists(spark, output) and not force:
         raise FileExistsError(f"{output} exists; use force to overwrite")
-    exact = VectorIndex("flat", stored.items, stored.item_id, stored.item_vector)
+    exact = VectorIndex(
+        "flat", stored.items, stored.item_id, stored.item_vector, details=stored.details
+    )
     stats = norm_stats(exact.items, exact.item_vector).first().asDict()
     report = {"source": source, "output": output, "index_type": index_type, **stats}
     if dry_run:
@@ -66,6 +68,7 @@ def reindex(
     rebuilt = build_index(
         exact.items, index_type, item_id=exact.item_id, item_vector=exact.item_vector, **params
     )
+    rebuilt.details = exact.details
     save_index(rebuilt, output)
     for extra in ("queries", "cache_key"):
         if _exists(spark, f"{source}/{extra}"):
