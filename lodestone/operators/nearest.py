@@ -36,9 +36,10 @@ PRUNED_GROUPS = 1_000
 BROADCAST_GROUPS = 65_536
 QUERY_BLOCK_ROWS = 16_384
 ITEM_BLOCK_ROWS = 131_072
+MIN_ITEM_BLOCK_ROWS = 2_048
 BLOCK_BYTES = 256 << 20
-_QUERY_STRIPE = 1_024
-_ITEM_STRIPE = 16_384
+_QUERY_STRIPE = 256
+_ITEM_STRIPE = 8_192
 _RANK_BITS = 24
 
 Decoder = Callable[[pa.Table], np.ndarray]
@@ -49,33 +50,39 @@ def _ids(column) -> np.ndarray:
 
 
 def _block_top(items, item_ids, queries, query_rows, k) -> pd.DataFrame:
-    """Best k items of one block for each query; ties go to the smaller id."""
+    """Best k items of one block for each query; ties go to the smaller id.
+
+    Stripes keep the score matrix inside the processor cache. The first item
+    stripe sets a floor per query; later stripes, which hold larger ids, only
+    contribute items that score above it.
+    """
     order = np.argsort(item_ids, kind="stable")
     item_ids, items = item_ids[order], items[order]
     found = []
     for q_at in range(0, len(queries), _QUERY_STRIPE):
         stripe = queries[q_at : q_at + _QUERY_STRIPE]
+        floor = None
         for i_at in range(0, len(items), _ITEM_STRIPE):
             part = items[i_at : i_at + _ITEM_STRIPE]
-            scores = np.rint(stripe @ part.T * SCORE_SCALE).astype(np.int64)
-            # One integer orders by score, then by position (= ascending id).
-            ranked = (scores << _RANK_BITS) - np.arange(part.shape[0])
+            raw = stripe @ part.T
+            raw *= SCORE_SCALE
             keep = min(k, part.shape[0])
-            if keep < part.shape[0]:
-                at = np.argpartition(-ranked, keep - 1, axis=1)[:, :keep]
-            else:
-                at = np.broadcast_to(np.arange(keep), (len(stripe), keep))
-            rows = np.repeat(np.arange(q_at, q_at + len(stripe)), keep)
-            found.append(
-                pd.DataFrame(
-                    {
-                        "row": query_rows[rows],
-                        "score": np.take_along_axis(scores, at, axis=1).ravel(),
-                        "item": item_ids[i_at + at.ravel()],
-                    }
-                )
-            )
-    return _trim(pd.concat(found, ignore_index=True), k) if found else pd.DataFrame()
+            rows, at = (None, None) if floor is None else np.nonzero(raw > floor[:, None])
+            if rows is None or len(rows) > 4 * keep * len(stripe):
+                # One integer orders by score, then by position (= ascending id).
+                ranked = np.rint(raw).astype(np.int64) << _RANK_BITS
+                ranked -= np.arange(part.shape[0])
+                at = np.argpartition(ranked, part.shape[0] - keep, axis=1)[:, part.shape[0] - keep :]
+                rows = np.repeat(np.arange(len(stripe)), keep)
+                at = at.ravel()
+                if floor is None and keep == k:
+                    kept = raw[rows, at].reshape(len(stripe), keep)
+                    floor = np.rint(kept.min(axis=1)) + 0.25
+            found.append((query_rows[rows + q_at], np.rint(raw[rows, at]).astype(np.int64), item_ids[i_at + at]))
+    if not found:
+        return pd.DataFrame()
+    row, score, item = (np.concatenate(column) for column in zip(*found))
+    return _trim(pd.DataFrame({"row": row, "score": score, "item": item}), k)
 
 
 def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -231,32 +238,36 @@ def _blocked(
     first = queries.select(F.size(query_vector)).first()
     per_block = max(1_024, BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
     query_rows, item_rows = min(QUERY_BLOCK_ROWS, per_block), min(ITEM_BLOCK_ROWS, per_block)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
     if group:
         queries = queries.filter(F.col(group[0]).isNotNull())
         items = items.filter(F.col(group[0]).isNotNull())
-    sizes = (
-        queries.groupBy(*group).agg(F.count("*").alias("_q"))
-        .join(items.groupBy(*group).agg(F.count("*").alias("_i")), group or None, "inner")
-        if group
-        else queries.agg(F.count("*").alias("_q")).crossJoin(items.agg(F.count("*").alias("_i")))
-    ).select(
-        *group,
-        F.greatest(F.lit(1), F.ceil(F.col("_q") / query_rows)).cast("int").alias("_q"),
-        F.greatest(F.lit(1), F.ceil(F.col("_i") / item_rows)).cast("int").alias("_i"),
-    )
-    if group:
-        # The size table has one row per group; broadcast it only after checking.
+        sizes = queries.groupBy(*group).agg(F.count("*").alias("_q")).join(
+            items.groupBy(*group).agg(F.count("*").alias("_i")), group, "inner"
+        )
+        # One row per group: broadcast it only after checking how many there are.
         known = sizes.limit(BROADCAST_GROUPS + 1).toArrow()
         if known.num_rows <= BROADCAST_GROUPS:
             sizes = F.broadcast(queries.sparkSession.createDataFrame(known, sizes.schema))
+            total = sum(known.column("_i").to_pylist())
+        else:
+            total = ITEM_BLOCK_ROWS * cores
         # toDF gives each use its own column ids, so the sides stay unambiguous.
         left, right = (f.join(sizes.toDF(*sizes.columns), group) for f in (queries, items))
     else:
-        only = sizes.first()
-        left, right = (
-            f.withColumns({"_q": F.lit(only["_q"]), "_i": F.lit(only["_i"])})
-            for f in (queries, items)
-        )
+        total = items.count()
+        counts = {"_q": F.lit(queries.count()), "_i": F.lit(total)}
+        left, right = queries.withColumns(counts), items.withColumns(counts)
+    # A few blocks per core even out hashing; none is larger than its bound.
+    item_rows = min(item_rows, max(MIN_ITEM_BLOCK_ROWS, total // (3 * cores)))
+
+    def blocks(frame):
+        def count(rows, limit):
+            return F.greatest(F.lit(1), F.ceil(F.col(rows) / limit)).cast("int")
+
+        return frame.withColumns({"_q": count("_q", query_rows), "_i": count("_i", item_rows)})
+
+    left, right = blocks(left), blocks(right)
 
     def own(id_column, count):
         return F.pmod(F.xxhash64(id_column), F.col(count)).cast("int")

@@ -41,6 +41,7 @@ def collected(frame, query_id="qid", item_id="id"):
 def test_matches_brute_force(spark, monkeypatch, strategy, string_ids):
     monkeypatch.setattr(nearest_module, "QUERY_BLOCK_ROWS", 40)
     monkeypatch.setattr(nearest_module, "ITEM_BLOCK_ROWS", 70)
+    monkeypatch.setattr(nearest_module, "MIN_ITEM_BLOCK_ROWS", 50)
     items, data = make_vectors(spark, string_ids=string_ids)
     queries = items.select(F.col("id").alias("qid"), F.col("embedding").alias("query_embedding"))
     got = nearest(
@@ -95,3 +96,23 @@ def test_zero_vector_scores_zero(spark):
     queries = spark.createDataFrame([(9, [6.0, 8.0])], "qid long, query_embedding array<float>")
     rows = nearest(queries, items, 2, query_id="qid", item_id="id").orderBy("rank").collect()
     assert [(r["id"], r["score"]) for r in rows] == [(2, 1.0), (1, 0.0)]
+
+
+def test_floor_keeps_every_better_item(monkeypatch):
+    monkeypatch.setattr(nearest_module, "_ITEM_STRIPE", 16)
+    monkeypatch.setattr(nearest_module, "_QUERY_STRIPE", 4)
+    rng = np.random.default_rng(8)
+    for trial in range(30):
+        items = np.round(rng.normal(size=(rng.integers(1, 90), 3)), 1)
+        if trial % 3 == 0:
+            items = items[np.argsort(items @ np.ones(3))]  # better items come last
+        if trial % 4 == 0:
+            items[: len(items) // 2] = items[0]
+        queries = np.vstack([np.ones((1, 3)), rng.normal(size=(9, 3))])
+        ids = rng.permutation(len(items))
+        got = nearest_module._block_top(items, ids, queries, np.arange(10), 5)
+        scores = np.rint(queries @ items.T * nearest_module.SCORE_SCALE).astype(int)
+        for q in range(10):
+            want = sorted(zip(-scores[q], ids))[:5]
+            mine = got[got["row"] == q]
+            assert list(zip(-mine["score"], mine["item"])) == want
