@@ -19,14 +19,12 @@ from pyspark.sql import types as T
 
 from lodestone.functions.arrow import with_arrow_column
 from lodestone.functions.vectors import to_matrix, unit_rows
-from lodestone.operators.ann import VectorIndex, assign_cells, probe_cells, train_centroids
+from lodestone.operators.ann import VectorIndex, assign_cells, probe_cells
 from lodestone.operators.nearest import SCORE_SCALE, nearest
 from lodestone.operators.lineage import checkpointed
 
 EXACT_LAYER_ROWS = 20_000
 COPY_SALTS = 8
-# The cells only steer the choice of links, so rough centroids do.
-CELL_ROUNDS = 4
 ENTRY_WIDTH = 4
 BUILD_PROBES = 8
 MAX_ROUNDS = 64
@@ -69,10 +67,9 @@ def _layer_links(layer, rows, item_id, item_vector, m, candidates) -> DataFrame:
     Most links are the nearest items; the rest are the best item of each further
     cell, which keeps dense groups of copies connected to their surroundings.
     """
-    centroids = train_centroids(
-        layer, max(1, math.isqrt(rows) // 2), item_id=item_id, item_vector=item_vector,
-        rounds=CELL_ROUNDS,
-    ) if rows > 2 * m else None
+    # Cells only steer the choice of links, so hash-chosen items serve as centroids.
+    chosen = layer.orderBy(F.xxhash64(item_id)).limit(math.isqrt(rows) // 2).select(item_vector)
+    centroids = unit_rows(to_matrix(chosen.toArrow().column(0))) if rows > 2 * m else None
     cells = layer if centroids is None else assign_cells(layer, centroids, item_vector)
     starts = layer.select(F.col(item_id).alias("src"), F.col(item_vector).alias("query_embedding"))
     if centroids is None:
