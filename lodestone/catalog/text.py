@@ -19,6 +19,7 @@ from lodestone.operators.corpus import (
     language_quotas,
     running_position,
 )
+from lodestone.operators.lineage import checkpointed
 from lodestone.operators.partitioning import spread
 
 # The same character classes, written for the checking engine.
@@ -272,7 +273,9 @@ WHERE split_rank = 0 OR position < CASE lang WHEN 'en' THEN 151 WHEN 'de' THEN 1
 def fill_to_quota(spark, sf_dir):
     """602 records over four languages: primary rows first, then fill rows up to the quota."""
     kept = first_seen(keyed_documents(spark, sf_dir), ["language", "key"], ["split_rank", "row_idx"])
-    placed = running_position(kept.drop("key"), "language", ["split_rank", "row_idx"])
+    placed = running_position(
+        checkpointed(kept.drop("key")), "language", ["split_rank", "row_idx"]
+    )
     quotas = language_quotas(602, ["en", "de", "fr", "es"])
     return fill_to_target(placed, quotas)
 

@@ -33,6 +33,9 @@ SCORE_SCALE = 1_000_000
 BROADCAST_QUERY_ROWS = 16_384
 BROADCAST_QUERY_BYTES = 128 << 20
 PRUNED_GROUPS = 1_000
+# Scan tasks per core: each task hands over k rows per query, so very many small
+# tasks would flood the final ranking.
+SCAN_TASKS_PER_CORE = 4
 BROADCAST_GROUPS = 65_536
 QUERY_BLOCK_ROWS = 16_384
 ITEM_BLOCK_ROWS = 131_072
@@ -213,7 +216,8 @@ def nearest(
             if len(best):
                 yield _emit(best, ids, groups, names, types)
 
-        candidates = items.mapInArrow(scan, schema)
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        candidates = items.coalesce(SCAN_TASKS_PER_CORE * cores).mapInArrow(scan, schema)
     else:
         # Read several times below; embedding the queries again would cost more.
         narrow = checkpointed(narrow)

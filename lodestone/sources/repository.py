@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,9 @@ from lodestone.languages import detect_language
 # Vendor directories that are never searched.
 SKIPPED_DIRECTORIES = (".git", "node_modules", "__pycache__", ".venv", "venv", "vendor")
 
+LISTED_ROWS = 10_000
+READ_BYTES = 16 << 20
+
 
 def outside_skipped_directories(path: Column) -> Column:
     """True unless a directory of the relative path is hidden or a vendor directory."""
@@ -61,35 +65,53 @@ def scan_repository(spark: SparkSession, root: str, partitions: int | None = Non
     root = os.path.abspath(root)
     if not os.path.isdir(root):
         raise FileNotFoundError(f"Repository path does not exist: {root}")
-    with os.scandir(root) as entries:
-        top = [(e.path, e.is_dir(follow_symlinks=False)) for e in entries
-               if not (e.is_dir(follow_symlinks=False) and _skipped(e.name))]
     partitions = partitions or spark.sparkContext.defaultParallelism
 
-    def walk(batches):
+    def top(batches):
         for batch in batches:
-            for path, is_directory in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                found = list(_list(path)) if is_directory else [path]
+            if batch.num_rows:
+                with os.scandir(root) as entries:
+                    kept = [e for e in entries if not (e.is_dir(follow_symlinks=False) and _skipped(e.name))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([os.path.relpath(p, root) for p in found], pa.string())],
-                    names=["file_path"],
+                    [
+                        pa.array([e.path for e in kept], pa.string()),
+                        pa.array([e.is_dir(follow_symlinks=False) for e in kept], pa.bool_()),
+                    ],
+                    names=["path", "is_directory"],
                 )
 
+    def walk(batches):
+        for batch in batches:
+            for path, is_directory in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                found = _list(path) if is_directory else iter([path])
+                while part := list(islice(found, LISTED_ROWS)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([os.path.relpath(p, root) for p in part], pa.string())],
+                        names=["file_path"],
+                    )
+
     def read(batches):
+        def batch_of(rows):
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["file_path", "language", "content"])
+
+        held, size = [], 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
+            for path, language in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    with open(os.path.join(root, row.column(0)[0].as_py()), "rb") as handle:
-                        content = handle.read()
+                    with open(os.path.join(root, path), "rb") as handle:
+                        held.append((path, language, handle.read()))
                 except OSError:
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [*row.columns, pa.array([content], pa.binary())], names=["file_path", "language", "content"]
-                )
-
-    start = spark.createDataFrame(top, "path string, is_directory boolean")
-    paths = start.repartition(partitions).mapInArrow(walk, "file_path string")
+                size += len(held[-1][2])
+                if size >= READ_BYTES:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    start = spark.range(0, 1, 1, 1).mapInArrow(top, "path string, is_directory boolean")
+    paths = start.repartition(partitions, "path").mapInArrow(walk, "file_path string")
     files = (
         supported_files(paths)
         .repartition(partitions, "file_path")
