@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from lodestone.catalog.registry import query, table
 from lodestone.config import DEFAULT_RERANK_INSTRUCTION
 from lodestone.functions import text as t
-from lodestone.functions.scoring import final_score, metadata_bonus, score_band, token_overlap
+from lodestone.functions.scoring import (
+    final_score,
+    metadata_bonus,
+    score_band,
+    token_overlap,
+    yes_probability,
+)
 from lodestone.operators.corpus import (
     fill_to_target,
     first_per_group,
     first_seen,
     language_quotas,
     running_position,
+    within_row_limit,
 )
 from lodestone.operators.lineage import checkpointed
 from lodestone.operators.partitioning import spread
@@ -177,10 +184,11 @@ def overlap_sql(query: str, document: str) -> str:
   {bonus_sql()} AS bonus FROM p)
 SELECT p_partkey, round(0.75::DOUBLE * rel + 0.20::DOUBLE * sim + 0.05::DOUBLE * bonus, 6) AS reranked, round(sim, 6) AS plain,
   CASE WHEN 0.75::DOUBLE * rel + 0.20::DOUBLE * sim + 0.05::DOUBLE * bonus >= 0.8 THEN 'green'
-       WHEN 0.75::DOUBLE * rel + 0.20::DOUBLE * sim + 0.05::DOUBLE * bonus >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM s"""
+       WHEN 0.75::DOUBLE * rel + 0.20::DOUBLE * sim + 0.05::DOUBLE * bonus >= 0.5 THEN 'yellow' ELSE 'red' END AS band,
+  round(exp(sim * 2) / (exp(sim * 2) + exp(rel)), 6) AS yes_share FROM s"""
 )
 def final_score_modes(spark, sf_dir):
-    """The weighted score, the score without reranking, and its display colour."""
+    """The weighted score, the plain one, the display colour, and a two-way softmax."""
     similarity = F.col("p_retailprice") / 2000
     relevance = token_overlap(
         F.col("query"), F.concat(F.coalesce("docstring", F.lit("")), F.col("source_code"))
@@ -192,6 +200,7 @@ def final_score_modes(spark, sf_dir):
         F.round(score, 6).alias("reranked"),
         F.round(final_score(similarity, relevance, bonus, reranking=False), 6).alias("plain"),
         score_band(score).alias("band"),
+        F.round(yes_probability(similarity * 2, relevance), 6).alias("yes_share"),
     )
 
 
@@ -280,6 +289,18 @@ def fill_to_quota(spark, sf_dir):
     return fill_to_target(placed, quotas)
 
 
+@query(
+    """SELECT lang AS language, doc_id AS row_idx FROM documents
+WHERE doc_id < CASE lang WHEN 'en' THEN 151 WHEN 'de' THEN 151 ELSE 150 END"""
+)
+def single_split_limit(spark, sf_dir):
+    """Without fill the quota counts the rows considered, valid or not."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("language"), F.col("doc_id").alias("row_idx")
+    )
+    return within_row_limit(rows, language_quotas(602, ["en", "de", "fr", "es"]))
+
+
 @query(
     f"""WITH {FIRST_SQL}, r AS (SELECT lang, split_rank, count(*) AS read FROM keyed GROUP BY ALL),
 k AS (SELECT lang, split_rank, count(*) AS kept FROM firsts GROUP BY ALL)

@@ -26,6 +26,7 @@ from lodestone.operators.lineage import checkpointed
 EXACT_LAYER_ROWS = 20_000
 COPY_SALTS = 8
 ENTRY_WIDTH = 4
+ENTRY_LAYER_ROWS = 4_096
 BUILD_PROBES = 8
 MAX_ROUNDS = 64
 
@@ -161,7 +162,13 @@ def search_graph(
         F.col(index.item_id).alias("node"), F.col(index.item_vector).alias("_iv"), "level"
     )
     asked = checkpointed(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv")))
-    top = vectors.agg(F.max("level")).first()[0]
+    # Start at the lowest upper layer that one matrix product can score outright.
+    counts = {r["level"]: r["count"] for r in vectors.groupBy("level").count().collect()}
+    top = max(counts, default=None)
+    while top is not None and top > 1 and sum(
+        n for at, n in counts.items() if at >= top - 1
+    ) <= ENTRY_LAYER_ROWS:
+        top -= 1
     order = [F.desc("score"), F.asc("node")]
     final = Window.partitionBy("_q").orderBy(*order)
     if top is None:
