@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import CHUNKER_TYPES, SearchConfig
+from lodestone.deploy import ship_package
 from lodestone.operators.ann import INDEX_DEFAULTS, INDEX_TYPES
 from lodestone.plans.build import index_repository
 from lodestone.plans.evaluate import evaluate
@@ -84,6 +85,7 @@ def configured(arguments: argparse.Namespace) -> SearchConfig:
 def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     arguments = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("lodestone").getOrCreate()
+    ship_package(spark)
     try:
         print(_run(arguments, configured(arguments), spark))
     except (FileNotFoundError, FileExistsError, ValueError) as error:

@@ -279,7 +279,7 @@ def build_index(
 ) -> VectorIndex:
     """Build any supported index. Given models are used as they are, else trained."""
     if index_type not in INDEX_TYPES:
-        raise ValueError(f"Unknown index_type: {index_type!r}")
+        raise ValueError(f"{index_type!r} is not one of the index kinds {INDEX_TYPES}")
     p = {**INDEX_DEFAULTS, **params}
     names = {"item_id": item_id, "item_vector": item_vector}
     index = VectorIndex(index_type, items, **names, nprobe=p["nprobe"])

@@ -50,7 +50,7 @@ def reindex(
 ) -> dict:
     """Build *index_type* from a stored flat index. Returns the report."""
     if index_type not in INDEX_TYPES:
-        raise ValueError(f"Unknown index_type: {index_type!r}")
+        raise ValueError(f"{index_type!r} is not one of the index kinds {INDEX_TYPES}")
     stored = load_index(spark, source)
     if stored.item_vector not in stored.items.columns:
         raise ValueError("the source index keeps codes only; re-index from a flat index")

@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from lodestone.operators.metrics import METRICS
 
-# Column headings of the metric table.
+# Size units, colour bands, column headings of the metric table.
+SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
+SCORE_BANDS = ((0.8, "green"), (0.5, "yellow"), (float("-inf"), "red"))
 METRIC_TITLES = ("Recall@1", "Recall@5", "Recall@10", "MRR", "NDCG@10")
 
 
 def score_style(score: float) -> str:
     """Colour of a score."""
-    if score >= 0.8:
-        return "green"
-    return "yellow" if score >= 0.5 else "red"
+    return next(colour for least, colour in SCORE_BANDS if score >= least)
 
 
 def format_size(count: float) -> str:
-    """Byte count with one decimal."""
-    for unit in ("B", "KB", "MB", "GB"):
-        if count < 1024:
-            return f"{count:.1f}{unit}"
-        count /= 1024
-    return f"{count:.1f}TB"
+    """Byte count with one decimal, in the largest unit that keeps it at 1 or more."""
+    step = 0
+    while step + 1 < len(SIZE_UNITS) and count >= 1024 ** (step + 1):
+        step += 1
+    return f"{count / 1024**step:.1f}{SIZE_UNITS[step]}"
 
 
 def format_result(position: int, row: dict) -> str:

@@ -64,7 +64,7 @@ def scan_repository(spark: SparkSession, root: str, partitions: int | None = Non
     """
     root = os.path.abspath(root)
     if not os.path.isdir(root):
-        raise FileNotFoundError(f"Repository path does not exist: {root}")
+        raise FileNotFoundError(f"{root} is not a directory")
     partitions = partitions or spark.sparkContext.defaultParallelism
 
     def top(batches):

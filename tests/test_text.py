@@ -89,10 +89,10 @@ def test_blank_docstring_and_php_tag(spark):
 
 
 def test_documentation_leakage(spark):
-    doc = "Compute several intermediate values."
+    doc = "Blend two paints into one."
     rows = [
-        ("COMPUTE   several\nintermediate values.", doc), ("/**\n * Compute several\n * intermediate values.\n */", doc),
-        ("// Compute several\n// intermediate values.", doc), ("compute several intermediate valuesX", doc), ("x", "..."), ("", doc),
+        ("BLEND   two\npaints into one.", doc), ("/**\n * Blend two\n * paints into one.\n */", doc),
+        ("// Blend two\n// paints into one.", doc), ("blend two paints into oneX", doc), ("x", "..."), ("", doc),
     ]
     got = evaluate(spark, rows, "c string, d string", text.contains_documentation(F.col("c"), F.col("d")))
     assert got == [True, True, True, False, False, False]
@@ -116,13 +116,13 @@ def test_rerank_prompt(spark):
 @pytest.mark.parametrize(
     "row,expected",
     [
-        (("read json", "read_json", None, None), 0.7),
-        (("read json", "read_json_file", None, None), 0.4),
-        (("read json", "write_csv", None, None), 0.0),
-        (("read json", None, None, "Reads JSON: read"), 0.3),
-        (("read json", "read_json", None, "read json"), 1.0),
+        (("open door", "open_door", None, None), 0.7),
+        (("open door", "open_door_file", None, None), 0.4),
+        (("open door", "close_gate", None, None), 0.0),
+        (("open door", None, None, "Opens: open"), 0.15),
+        (("open door", "open_door", None, "open door"), 1.0),
         (("", "x", None, None), 0.4),
-        (("read", "", "Reader", None), 0.4),
+        (("open", "", "Opener", None), 0.4),
     ],
 )
 def test_metadata_bonus(spark, row, expected):
@@ -142,7 +142,7 @@ def test_scores(spark):
 
 
 def test_embedder_and_pooling():
-    vectors = models.HashingEmbedder(32).embed_documents(pa.array(["Read JSON", "json read", "", "..."]))
+    vectors = models.HashingEmbedder(32).embed_documents(pa.array(["Open Door", "door open", "", "..."]))
     assert np.allclose(vectors[0], vectors[1]) and np.isclose(np.linalg.norm(vectors[0]), 1)
     assert not vectors[2:].any()
     hidden = np.arange(12).reshape(2, 3, 2)
