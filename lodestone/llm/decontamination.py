@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.storage import BROADCAST_BYTES, broadcast_if_small
 from lodestone.llm.text import ascii_words
 from lodestone.operators.lineage import checkpointed
 
 WINDOW = 10
-#: Windows are broadcast up to this size, and joined by a shuffle beyond it.
-BROADCAST_BYTES = 64 << 20
 _LENGTH_AT = 32
 
 
@@ -144,11 +143,12 @@ def contamination(
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a hit, with their own columns."""
-    dirty = (
+    dirty = broadcast_if_small(
         contamination(docs, benchmark, doc_id, text, **options)
         .where("contaminated")
         .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .distinct()
+        .distinct(),
+        row_bytes=48,
     )
     same = docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash"))
     return docs.join(dirty, same, "left_anti")

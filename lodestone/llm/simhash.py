@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import struct_column
 from lodestone.llm.components import components
+from lodestone.llm.storage import broadcast_if_small
 from lodestone.operators.lineage import checkpointed
 
 SEED = 42
@@ -228,7 +229,7 @@ def near_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFr
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4
 ) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id), one row for each row of ``docs``.
+    """(doc_id, fingerprint as 16 hex digits, component_id, text_hash), one row for each row of ``docs``.
 
     component_id is the smallest id reachable over links of at most ``bits``
     differing bits. Null texts and texts without words have fingerprint zero and
@@ -238,7 +239,7 @@ def near_duplicates(
     """
     marked = checkpointed(
         with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle)
-        .select("doc_id", "fingerprint")
+        .select("doc_id", "fingerprint", F.xxhash64("text").alias("text_hash"))
     )
     folded = checkpointed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     links = checkpointed(near_links(folded.select("fingerprint"), bits))
@@ -249,15 +250,20 @@ def near_duplicates(
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fingerprint = labelled.join(smallest, "component").select("fingerprint", "component_id")
     return marked.join(by_fingerprint, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"
     )
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
-    """One row of each component: that of the smallest id, and of the smallest text among rows that share the id.
+    """The rows of ``docs`` whose id is the smallest of their component.
 
-    Rows without an id stay, since nothing tells them apart.
+    Rows without an id stay, and so do rows that repeat the id that is kept.
     """
-    classes = near_duplicates(docs, doc_id, text, shingle, bits)
-    gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    gone = broadcast_if_small(
+        near_duplicates(docs, doc_id, text, shingle, bits)
+        .where("doc_id > component_id")
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .distinct(),
+        row_bytes=48,
+    )
+    return docs.join(gone, (docs[doc_id] == F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_anti")

@@ -6,6 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators.lineage import checkpointed
+
+#: Tables are broadcast up to this size; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +31,9 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def broadcast_if_small(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a frame, and mark it for broadcast if its rows of about ``row_bytes`` fit the limit."""
+    ready = checkpointed(frame)
+    return F.broadcast(ready) if ready.count() * row_bytes <= limit else ready
