@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, licenses, packing, repetition, secrets, simhash
+from lodestone.llm import (
+    decontamination,
+    hosts,
+    licenses,
+    packing,
+    repetition,
+    secrets,
+    sharding,
+    simhash,
+    token_totals,
+    warc,
+)
+from lodestone.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +109,132 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every document."""
     return licenses.with_licenses(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "detections")
+
+
+URL_RULES = [
+    hosts.UrlRule("block", "net", "/"),
+    hosts.UrlRule("allow", "example.net", "/en/"),
+    hosts.UrlRule("block", "example.com", "/de/"),
+    hosts.UrlRule("allow", "org", "/fr/"),
+]
+
+
+@query
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged; a labelled page is bad if its document is toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    outcomes = labels.select(
+        F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad")
+    )
+    return hosts.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), outcomes, URL_RULES)
+
+
+ORACLES["op6_host_reputation"] = r"""
+WITH urls AS (
+  SELECT page_id,
+    CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE translate(
+      regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+    CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE
+      regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*([^?#]*)', 1) END AS path
+  FROM pages),
+worst AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+hosts AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS dom, string_split(host, '.')[-1] AS suf,
+         CAST(sum(bad) AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n
+  FROM urls JOIN worst USING (page_id) GROUP BY host),
+doms AS (SELECT dom, suf, sum(x) AS x, sum(n) AS n FROM hosts GROUP BY dom, suf),
+sufs AS (SELECT suf, sum(x) AS x, sum(n) AS n FROM hosts GROUP BY suf),
+moments AS (
+  SELECT level, sum(x) / sum(n) AS p, sum(n) AS m, sum(n * n) AS s, sum(x * x / n) - sum(x) * sum(x) / sum(n) AS v, count(*) AS k
+  FROM (SELECT 'host' AS level, x, n FROM hosts UNION ALL SELECT 'dom', x, n FROM doms UNION ALL SELECT 'suf', x, n FROM sufs)
+  GROUP BY level),
+spread AS (SELECT *, CASE WHEN p > 0 AND p < 1 AND m <> s / m THEN (v - (k - 1) * p * (1 - p)) / (m - s / m) END AS t FROM moments),
+strength AS (
+  SELECT level, p, CASE WHEN t IS NULL OR t <= 0 THEN 10000.0 ELSE least(greatest(p * (1 - p) / t - 1, 2.0), 10000.0) END AS w FROM spread),
+suf_rate AS (SELECT suf, (x + w * p) / (n + w) AS r FROM sufs, strength WHERE level = 'suf'),
+dom_rate AS (SELECT dom, (x + w * r) / (n + w) AS r FROM doms JOIN suf_rate USING (suf), strength WHERE level = 'dom'),
+judged AS (
+  SELECT host, CAST(n AS BIGINT) AS host_pages, CAST(x AS BIGINT) AS host_bad,
+         q - 1.645 * sqrt(q * (1 - q) / (n + w + 1)) > 0.5 AS blocked
+  FROM (SELECT host, x, n, w, (x + w * r) / (n + w) AS q FROM hosts JOIN dom_rate USING (dom), strength WHERE level = 'host')),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM urls)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN coalesce(blocked, false) THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(host_pages, 0) AS host_pages, coalesce(host_bad, 0) AS host_bad
+FROM ruled LEFT JOIN judged USING (host)
+"""
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, read back and assembled."""
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return warc.captures_with_origin(warc.transactions(warc.read_records(spark, path, payload=False)))
+
+
+ORACLES["op3_warc"] = """
+WITH payloads AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+origins AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS origin FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> origin THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> origin THEN origin END AS refers_to
+FROM origins
+"""
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards of near equal bytes."""
+    return sharding.sharded(table(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
+
+
+@query
+def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches, one of them delivered twice.
+
+    All documents are counted by two tokenizer versions. Then toxic documents are
+    deleted, and last, documents that repeat lines are counted anew without the repeats.
+    """
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    versions = {
+        "words-1": token_totals.word_count(F.col("text")), "marks-1": token_totals.word_and_mark_count(F.col("text"))
+    }
+    rollup = token_totals.TokenTotals(spark, f"{shared_folder(spark)}/token-totals-{uuid.uuid4().hex}")
+    rollup.apply("load", token_totals.counted(docs, versions))
+    toxic = table(spark, sf_dir, "labels", "doc_id", "toxic").where("toxic = 1").select("doc_id").distinct()
+    removed = rollup.ledger().join(toxic, "doc_id", "left_semi").withColumn("deleted", F.lit(True))
+    rollup.apply("remove-toxic", removed)
+    lines = F.split("text", "\n")
+    revised = docs.where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn(
+        "text", F.array_join(F.array_distinct(lines), "\n")
+    )
+    recount = token_totals.counted(revised, versions).join(toxic, "doc_id", "left_anti")
+    for _ in range(2):
+        rollup.apply("recount-lines", recount)
+    return rollup.totals()
+
+
+ORACLES["op5_token_totals"] = r"""
+WITH lines AS (
+  SELECT doc_id, source, lang, text, string_split(text, chr(10)) AS l FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+final AS (
+  SELECT source, lang, coalesce(CASE WHEN len(list_distinct(l)) < len(l)
+    THEN array_to_string(list_distinct(l), chr(10)) ELSE text END, '') AS text
+  FROM lines)
+SELECT source, lang, 'words-1' AS version, count(*) AS documents,
+       CAST(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS tokens FROM final GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'marks-1', count(*), CAST(sum(len(regexp_extract_all(text,
+       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]'))) AS BIGINT) FROM final GROUP BY source, lang
+"""
