@@ -1,13 +1,15 @@
 """Benchmark decontamination: test windows of words found in documents.
 
-Windows of the test items form a hash set that is broadcast while it is small;
-documents stream past it with one hash for each window of words, all inside one
-generated stage. A hash that is found is verified word by word. What leaves the
+Windows of the test items form a hash set that is broadcast, in as many parts as
+its size needs; documents stream past it with one hash for each window of words,
+all inside one generated stage, once for each part. A hash that is found is verified word by word. What leaves the
 scan is one row for each document and one for each verified window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +77,8 @@ def contamination(
     size = windows.agg(
         F.sum(F.octet_length("window") + 64).alias("bytes"), F.collect_set("length").alias("lengths")
     ).first()
-    small = (size["bytes"] or 0) <= broadcast_bytes
     held = members.join(windows.select("window", "window_id"), "window").select("window_id", "item")
-    if small:
-        windows = F.broadcast(windows)
+    passes = max(1, -(-(size["bytes"] or 0) // broadcast_bytes))
 
     words = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), ascii_words(F.col(text)).alias("words")
@@ -92,11 +92,15 @@ def contamination(
     # The row of the document itself has no window; its slice only has to be a valid one.
     run = F.slice("words", F.greatest("at", F.lit(1)), F.col("n"))
     places = places.withColumn("key", F.when(F.col("at") > 0, F.xxhash64(run)))
-    found = places.join(
-        windows,
-        (F.col("key") == F.col("hash")) & (F.array_join(run, " ") == F.col("window")),
-        "left",
-    ).where("at = 0 OR window_id IS NOT NULL")
+
+    def scan(number: int) -> DataFrame:
+        part = windows if passes == 1 else windows.where(F.pmod("hash", F.lit(passes)) == number)
+        matched = (F.col("key") == F.col("hash")) & (F.array_join(run, " ") == F.col("window"))
+        return places.join(F.broadcast(part), matched, "left").where(
+            "at = 0 OR window_id IS NOT NULL" if number == 0 else "window_id IS NOT NULL"
+        )
+
+    found = reduce(DataFrame.unionAll, map(scan, range(passes)))
     report = checkpointed(
         found.select(
             "doc_id", "text_hash", "window_id",
@@ -113,7 +117,7 @@ def contamination(
     )
     touched = report.where("size(window_ids) > 0").select("doc_id", "text_hash", F.explode("window_ids").alias("window_id"))
     items = (
-        touched.join(F.broadcast(held) if small else held, "window_id")
+        touched.join(broadcast_if_small(held, row_bytes=48), "window_id")
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
         .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "items")
@@ -150,7 +154,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "do
         .distinct(),
         row_bytes=48,
     )
-    same = docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+    same = docs[doc_id].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs[text]) == dirty["_hash"])
     return docs.join(dirty, same, "left_anti")
 
 
@@ -159,21 +163,21 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     dirty = (
         contamination(docs, benchmark, doc_id, text, **options)
         .where("contaminated")
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("__spans"))
         .distinct()
     )
-    same = docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+    same = docs[doc_id].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs[text]) == dirty["_hash"])
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     joined = docs.join(dirty, same, "left")
     raw = F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0))
     gaps = F.split(F.col(text), word)
-    cut = joined.withColumn("_raw", F.when(F.col("_spans").isNotNull(), raw)).withColumn(
-        "_gaps", F.when(F.col("_spans").isNotNull(), gaps)
+    cut = joined.withColumn("__raw", F.when(F.col("__spans").isNotNull(), raw)).withColumn(
+        "__gaps", F.when(F.col("__spans").isNotNull(), gaps)
     )
     # Gap i stands before word i. A span from a to b takes words a..b-1 and the gaps between them.
     kept = F.expr(
-        """array_join(transform(_gaps, (gap, i) -> concat(
-             CASE WHEN exists(_spans, s -> i > s.a AND i < s.b) THEN '' ELSE gap END,
-             CASE WHEN i >= size(_raw) OR exists(_spans, s -> i >= s.a AND i < s.b) THEN '' ELSE _raw[i] END)), '')"""
+        """array_join(transform(__gaps, (gap, i) -> concat(
+             CASE WHEN exists(__spans, s -> i > s.a AND i < s.b) THEN '' ELSE gap END,
+             CASE WHEN i >= size(__raw) OR exists(__spans, s -> i >= s.a AND i < s.b) THEN '' ELSE __raw[i] END)), '')"""
     )
-    return cut.withColumn(text, F.when(F.col("_spans").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)
+    return cut.withColumn(text, F.when(F.col("__spans").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)

@@ -55,36 +55,36 @@ def with_licenses(docs: DataFrame, text: str = "text", signatures: list[Rule] |
     """
     signatures = rules() if signatures is None else signatures
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    kept = [F.col(c) for c in docs.columns if c not in names]
-    words = docs.select(*kept, ascii_words(F.col(text)).alias("_words"))
-    gate = F.arrays_overlap("_words", F.array(*map(F.lit, GATES)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    words = docs.select(*kept, ascii_words(F.col(text)).alias("__words"))
+    gate = F.arrays_overlap("__words", F.array(*map(F.lit, GATES)))
     lines = words.select(
         *kept,
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.when(gate, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))).alias("_line"),
+        F.size("__words").cast("bigint").alias("n_words"),
+        F.when(gate, F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))).alias("__line"),
     )
-    tried = F.filter(_rule_table(signatures), lambda r: F.col("_line").contains(r["keyword"]))
-    found = lines.withColumn("_tried", F.when(F.col("_line").isNotNull(), tried))
-    places = f"""flatten(transform(_tried, r ->
+    tried = F.filter(_rule_table(signatures), lambda r: F.col("__line").contains(r["keyword"]))
+    found = lines.withColumn("__tried", F.when(F.col("__line").isNotNull(), tried))
+    places = f"""flatten(transform(__tried, r ->
       element_at(transform(array(named_struct(
-        'gaps', split(_line, r.expression, -1), 'hits', regexp_extract_all(_line, r.expression, 0))),
+        'gaps', split(__line, r.expression, -1), 'hits', regexp_extract_all(__line, r.expression, 0))),
         s -> CASE WHEN size(s.hits) = 0 THEN cast(array() as array<{DETECTION}>)
              ELSE {_PLACES.replace('gaps[', 's.gaps[').replace('hits[', 's.hits[').replace('size(hits)', 'size(s.hits)')} END), 1)))"""
-    found = found.withColumn("_found", F.when(F.col("_line").isNotNull(), F.expr(places)))
+    found = found.withColumn("__found", F.when(F.col("__line").isNotNull(), F.expr(places)))
     left = F.expr(
-        """filter(_found, d -> d.base OR NOT exists(_found, e ->
+        """filter(__found, d -> d.base OR NOT exists(__found, e ->
              NOT e.base AND e.rank < d.rank AND e.a <= d.a AND e.b >= d.b))"""
     )
-    judged = found.select(*kept, "n_words", left.alias("detections"), F.expr("filter(_found, d -> d.base)").alias("_base"))
+    judged = found.select(*kept, "n_words", left.alias("detections"), F.expr("filter(__found, d -> d.base)").alias("__base"))
     none = F.array().cast(f"array<{DETECTION}>")
-    judged = judged.withColumn("detections", F.coalesce("detections", none)).withColumn("_base", F.coalesce("_base", none))
+    judged = judged.withColumn("detections", F.coalesce("detections", none)).withColumn("__base", F.coalesce("__base", none))
     return judged.select(
         *kept,
         "n_words",
-        F.size("_base").cast("bigint").alias("n_base"),
-        F.array_min("_base.a").cast("bigint").alias("first_word"),
-        F.array_max("_base.a").cast("bigint").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct("_base.label")), ",").alias("base_labels"),
+        F.size("__base").cast("bigint").alias("n_base"),
+        F.array_min("__base.a").cast("bigint").alias("first_word"),
+        F.array_max("__base.a").cast("bigint").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("__base.label")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct("detections.label")), ",").alias("labels"),
         F.expr("round(1 - aggregate(detections, 1D, (p, d) -> p * (1 - d.weight)), 6)").alias("score"),
         "detections",

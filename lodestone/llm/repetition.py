@@ -192,9 +192,9 @@ def with_repetition(docs: DataFrame, text: str = "text", rules: RepetitionRules
     rules = rules or RepetitionRules()
     measure = struct_column(MEASURES, lambda texts: measured(texts, rules))
     names = [part.split()[0] for part in MEASURES.split(", ")]
-    kept = [F.col(c) for c in docs.columns if c not in names]
-    return docs.select(*kept, measure(F.col(text)).alias("_repetition")).select(
-        *kept, *(F.col("_repetition")[n].alias(n) for n in names)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*kept, measure(F.col(text)).alias("__measured")).select(
+        *kept, *(F.col("__measured")[n].alias(n) for n in names)
     )
 
 
@@ -202,9 +202,9 @@ def reject_repetition(docs: DataFrame, text: str = "text", rules: RepetitionRule
     """The rows that pass, with their own columns."""
     rules = rules or RepetitionRules()
     measure = struct_column(MEASURES, lambda texts: measured(texts, rules))
-    columns = [F.col(c) for c in docs.columns]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     return (
-        docs.select(*columns, measure(F.col(text)).alias("_repetition"))
-        .where(F.col("_repetition")["kept"])
+        docs.select(*columns, measure(F.col(text)).alias("__measured"))
+        .where(F.col("__measured")["kept"])
         .select(*columns)
     )

@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,12 +135,13 @@ def secret_spans(raw: bytes, rules: SecretRules) -> list[tuple[int, int, int, fl
     if has_hex:
         spans += [(m.start(), m.end(), 2, 1.0) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     if has_name:
-        base = list(spans)
-        spans += [
-            (a, b, 3, score)
-            for a, b, score in assigned_literals(text, rules)
-            if not any(x <= a and b <= y for x, y, _, _ in base)
-        ]
+        base = sorted(spans)
+        starts = [s[0] for s in base]
+        reach = list(accumulate((s[1] for s in base), max))  # the farthest end of this span and those before
+        for a, b, score in assigned_literals(text, rules):
+            before = bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
+                spans.append((a, b, 3, score))
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -174,9 +177,9 @@ def with_secrets(docs: DataFrame, text: str = "text", rules: SecretRules | None
     rules = rules or SecretRules()
     scan = struct_column(FOUND, lambda texts: scanned(texts, rules))
     names = [part.split()[0] for part in FOUND.split(", ")]
-    kept = [F.col(c) for c in docs.columns if c not in names]
-    return docs.select(*kept, scan(F.col(text)).alias("_secrets")).select(
-        *kept, *(F.col("_secrets")[n].alias(n) for n in names)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*kept, scan(F.col(text)).alias("__found")).select(
+        *kept, *(F.col("__found")[n].alias(n) for n in names)
     )
 
 
@@ -205,9 +208,9 @@ def mask_secrets(
     """
     rules = rules or SecretRules()
     change = struct_column("changed string", lambda texts: masked(texts, rules, mask))
-    columns = [F.col(c) for c in docs.columns]
-    changed = F.col("_masked.changed")
-    new = docs.select(*columns, change(F.col(text)).alias("_masked"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    changed = F.col("__masked.changed")
+    new = docs.select(*columns, change(F.col(text)).alias("__masked"))
     out = []
     for name in docs.columns:
         if name == text:
@@ -216,5 +219,5 @@ def mask_secrets(
             kind = docs.schema[n_chars].dataType
             out.append(F.when(changed.isNotNull(), F.length(changed).cast(kind)).otherwise(F.col(n_chars)).alias(n_chars))
         else:
-            out.append(F.col(name))
+            out.append(F.col(f"`{name}`"))
     return new.select(*out)

@@ -78,8 +78,8 @@ def fingerprints(texts: list[bytes], shingle: int = 4) -> list[np.ndarray]:
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint as a signed long. Texts without words, and nulls, get zero."""
     made = struct_column("value bigint", lambda texts: fingerprints(texts, shingle))
-    columns = [F.col(c) for c in docs.columns if c != name]
-    return docs.select(*columns, made(F.col(text)).alias("_made")).select(*columns, F.col("_made.value").alias(name))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    return docs.select(*columns, made(F.col(text)).alias("__made")).select(*columns, F.col("__made.value").alias(name))
 
 
 class Forest:
@@ -266,4 +266,4 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
         .distinct(),
         row_bytes=48,
     )
-    return docs.join(gone, (docs[doc_id] == F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_anti")
+    return docs.join(gone, (docs[doc_id] == gone["_id"]) & (F.xxhash64(docs[text]) == gone["_hash"]), "left_anti")

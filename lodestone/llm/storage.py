@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +24,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet to a new place in the shared folder and read it back."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def broadcast_if_small(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Materialise a frame, and mark it for broadcast if its rows of about ``row_bytes`` fit the limit."""
     ready = checkpointed(frame)
