@@ -15,20 +15,30 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 4 << 20
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
-    """The texts as UTF-8, null as empty, in runs of about ``limit`` bytes (one text at least)."""
-    if not len(texts):
-        return
-    binary = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
-    ends = np.cumsum(pc.fill_null(pc.binary_length(binary), 0).to_numpy(zero_copy_only=False))
+def _cuts(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of about ``limit`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
-    while start < len(binary):
+    while start < len(texts):
         before = int(ends[start - 1]) if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield [b or b"" for b in binary.slice(start, stop - start).to_pylist()]
+        yield start, stop - start
         start = stop
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of one text column."""
+    for start, rows in _cuts(batch.column(column), limit):
+        yield batch.slice(start, rows)
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts as UTF-8, null as empty, in runs of about ``limit`` bytes."""
+    binary = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+    for start, rows in _cuts(binary, limit):
+        yield [b or b"" for b in binary.slice(start, rows).to_pylist()]
+
+
 def struct_column(schema: str, compute: Callable[[list[bytes]], list]) -> Callable[[Column], Column]:
     """A struct column of one text column: ``compute`` maps texts to one list or array for each field.
 

@@ -16,21 +16,28 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import byte_slices
+
 TOKENIZER = "word_bpe_49k.json"
+COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+SLICE_BYTES = 16 << 20
 PIECES = (
     "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 )
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Letters that normalisation only lower-cases. A word of them is one token run, and so is a mark behind it.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PLAIN = re.compile(f"([{LETTERS}]+)([.,]?)")
@@ -66,8 +73,9 @@ class Lookup(dict):
 class WordTokens:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins across spaces, so words are encoded once and looked
-    up afterwards. Plain words go to its model directly, others through all of it.
+    The tokenizer never joins across spaces, so the different words of a slice are
+    looked up once and laid out by their numbers. A word that is not known yet goes
+    to the tokenizer's model directly if it is plain, else through all of it.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
@@ -89,43 +97,69 @@ class WordTokens:
         self.stems = Lookup(self.stem_ids, cached)
         self.words = Lookup(self.word_ids, cached)
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        made = array("I", ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
     def stem_ids(self, stem: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(stem.translate(self.bytes_of))], "<u4").tobytes()
+        return self.packed([t.id for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.bytes_of))])
 
     def word_ids(self, word: str) -> bytes:
         plain = PLAIN.fullmatch(word)
         if plain is None:
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         stem = self.stems[plain[1].lower()]
         return stem + self.stems[plain[2]] if plain[2] else stem
 
-    def encoded(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+    def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by ``end_id``, and the number of ids of each. Null is empty."""
+        spaced = pc.replace_substring(pc.fill_null(texts, ""), pattern="\n", replacement=" ")
+        split = pc.split_pattern(spaced, pattern=" ")
+        coded = split.flatten().dictionary_encode()
+        made = [self.words[w] for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        pool = np.append(np.frombuffer(b"".join(made), "<u4"), np.uint32(end_id))
+        begins = np.append(np.cumsum(sizes) - sizes, len(pool) - 1)
+        sizes = np.append(sizes, 1)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(made))
+        length = sizes[order]
+        after = np.cumsum(length)
+        shift = begins[order] - (after - length)
+        ids = pool[np.repeat(shift, length) + np.arange(after[-1] if len(after) else 0)]
+        totals = after[ends + np.arange(len(ends))]
+        return ids, np.diff(totals, prepend=0)
 
 
 def allowed_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, rules: PackingRules):
     """Positions where a window may end, in order, and what each costs. The last is the end of the run."""
     total = len(ids)
-    cost = np.full(total + 1, np.inf)
-    sentence = np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1
-    cost[sentence] = rules.sentence_cut
-    cost[doc_ends] = 0.0
-    cost[0] = 0.0
-    at = np.flatnonzero(np.isfinite(cost))
+    sentence = np.flatnonzero(ends_sentence[ids]) + 1
+    places = np.concatenate([[0], doc_ends, sentence])
+    costs = np.concatenate([np.zeros(1 + len(doc_ends)), np.full(len(sentence), rules.sentence_cut)])
+    at = np.unique(places)
     gaps = np.diff(at)
     steps = np.maximum(gaps - 1, 0) // rules.other_every
     before = np.cumsum(steps) - steps
     step = np.arange(steps.sum()) - np.repeat(before, steps) + 1
-    cost[np.repeat(at[:-1], steps) + rules.other_every * step] = rules.other_cut
+    inside = np.repeat(at[:-1], steps) + rules.other_every * step
     # The end of the run can be closed by sequences whose lengths are powers of two.
-    rest, place = total % rules.window, total
+    rest, place, closing = total % rules.window, total, []
     for power in range(rules.window.bit_length() - 1):
         if rest >> power & 1:
             place -= 1 << power
-            if place > 0:
-                cost[place] = min(cost[place], rules.other_cut)
-    cuts = np.flatnonzero(np.isfinite(cost))
-    return cuts, cost[cuts]
+            closing.append(place)
+    others = np.concatenate([inside, np.array([p for p in closing if p > 0], np.int64)])
+    places = np.concatenate([places, others])
+    costs = np.concatenate([costs, np.full(len(others), rules.other_cut)])
+    # The cheapest reason for each place.
+    order = np.lexsort((costs, places))
+    places, costs = places[order], costs[order]
+    first = np.append(True, places[1:] != places[:-1])
+    return places[first], costs[first]
 
 
 def best_windows(cuts: np.ndarray, penalties: np.ndarray, rules: PackingRules) -> np.ndarray:
@@ -162,12 +196,10 @@ def best_windows(cuts: np.ndarray, penalties: np.ndarray, rules: PackingRules) -
     return np.array([0, *reversed(taken)], np.int64)
 
 
-def packed_run(lengths: np.ndarray, buffer: bytes, tokens: WordTokens, rules: PackingRules):
-    """Piece columns of one run: document index, start, length, sequence (from 0), offset, and piece bounds."""
-    ids = np.frombuffer(buffer, "<u4")
+def packed_run(lengths: np.ndarray, ids: np.ndarray, ends_sentence: np.ndarray, rules: PackingRules):
+    """Piece columns of one run: document index, start, length, sequence (from 0), offset; piece bounds; sequences."""
     ends = np.cumsum(lengths)
-    cuts, penalties = allowed_cuts(ids, ends, tokens.ends_sentence, rules)
-    windows = best_windows(cuts, penalties, rules)
+    windows = best_windows(*allowed_cuts(ids, ends, ends_sentence, rules), rules)
     bounds = np.union1d(windows, np.append(0, ends))
     begin = bounds[:-1]
     doc = np.searchsorted(ends, begin, side="right")
@@ -179,48 +211,43 @@ def packed_run(lengths: np.ndarray, buffer: bytes, tokens: WordTokens, rules: Pa
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def _packer(path: str | None, id_field: pa.Field, rules: PackingRules):
+def _packer(path: str | None, rules: PackingRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = path
         if place is None:
             import public_tokenizers
 
             place = public_tokenizers.path(TOKENIZER)
-        tokens = _TOKENS.setdefault(place, None) or WordTokens(place)
-        _TOKENS[place] = tokens
-        end = np.array([rules.end_id], "<u4").tobytes()
+        if place not in _TOKENS:
+            _TOKENS[place] = WordTokens(place)
+        tokens = _TOKENS[place]
         first = TaskContext.get().partitionId() << 40
         names: list[pa.Array] = []
-        parts: list[bytes] = []
-        size = 0
+        counts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal first, size
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            buffer = b"".join(parts)
-            doc, start, length, sequence, offset, bounds, used = packed_run(lengths, buffer, tokens, rules)
-            wide = len(buffer) > 2**31 - 1
+            nonlocal first
+            lengths, ids = np.concatenate(counts), np.concatenate(parts).astype("<u4", copy=False)
+            doc, start, length, sequence, offset, bounds, used = packed_run(lengths, ids, tokens.ends_sentence, rules)
+            wide = 4 * len(ids) > 2**31 - 1
             binary = pa.large_binary() if wide else pa.binary()
             ends = pa.py_buffer((bounds * 4).astype(np.int64 if wide else np.int32))
-            ids = pa.Array.from_buffers(binary, len(doc), [None, ends, pa.py_buffer(buffer)])
-            batch = pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(names).take(pa.array(doc)), *map(pa.array, (start, length, lengths[doc], sequence + first, offset)), ids],
-                names=[id_field.name, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
+            pieces = pa.Array.from_buffers(binary, len(doc), [None, ends, pa.py_buffer(ids)])
+            named = pa.concat_arrays(names).take(pa.array(doc))
+            numbers = map(pa.array, (start, length, lengths[doc], sequence + first, offset))
             first += used
-            names.clear()
-            parts.clear()
-            size = 0
-            return batch
+            for held in (names, counts, parts):
+                held.clear()
+            return pa.RecordBatch.from_arrays([named, *numbers, pieces], names=COLUMNS)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for piece in byte_slices(batch, 1, SLICE_BYTES):
+                ids, lengths = tokens.encoded(piece.column(1), rules.end_id)
                 names.append(piece.column(0))
-                made = [tokens.encoded(t or "") + end for t in piece.column(1).to_pylist()]
-                parts += made
-                size += sum(map(len, made)) // 4
-                if size >= rules.run_tokens:
+                counts.append(lengths)
+                parts.append(ids)
+                if sum(map(len, parts)) >= rules.run_tokens:
                     yield flush()
         if parts:
             yield flush()
@@ -247,5 +274,5 @@ def packed(
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(
-        _packer(tokenizer_path, pa.field("doc_id", pa.int64()), rules), f"doc_id {kind}, {PIECES}"
+        _packer(tokenizer_path, rules), f"doc_id {kind}, {PIECES}"
     )
