@@ -250,14 +250,14 @@ NORMAL = (
 FIRST_SQL = f"""keyed AS (
   SELECT *, (source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4'))::INT AS split_rank,
          sha256(lang || chr(10) || '' || chr(10) || {NORMAL}) AS key
-  FROM documents WHERE len({words_sql('text')}) >= 5),
+  FROM documents WHERE {strip_sql('text')} <> ''),
 firsts AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY split_rank, doc_id) AS n FROM keyed) WHERE n = 1)"""
 
 
 def keyed_documents(spark, sf_dir):
     """Valid rows with a split and a content key. Five sources form the primary split."""
-    rows = spread(table(spark, sf_dir, "documents")).filter(F.size(t.words(F.col("text"))) >= 5)
+    rows = spread(table(spark, sf_dir, "documents")).filter(~t.is_blank(F.col("text")))
     primary = F.col("source").isin("src0", "src1", "src2", "src3", "src4")
     messy = derived(rows, code=MESSY)
     return messy.select(
@@ -270,7 +270,8 @@ def keyed_documents(spark, sf_dir):
 
 @query(f"WITH {FIRST_SQL} SELECT lang AS language, split_rank, doc_id AS row_idx, key FROM firsts")
 def dedup_first_seen(spark, sf_dir):
-    return first_seen(keyed_documents(spark, sf_dir), ["language", "key"], ["split_rank", "row_idx"])
+    rows = checkpointed(keyed_documents(spark, sf_dir))
+    return first_seen(rows, ["language", "key"], ["split_rank", "row_idx"])
 
 
 @query(
@@ -281,7 +282,8 @@ WHERE split_rank = 0 OR position < CASE lang WHEN 'en' THEN 151 WHEN 'de' THEN 1
 )
 def fill_to_quota(spark, sf_dir):
     """602 records over four languages: primary rows first, then fill rows up to the quota."""
-    kept = first_seen(keyed_documents(spark, sf_dir), ["language", "key"], ["split_rank", "row_idx"])
+    rows = checkpointed(keyed_documents(spark, sf_dir))
+    kept = first_seen(rows, ["language", "key"], ["split_rank", "row_idx"])
     placed = running_position(
         checkpointed(kept.drop("key")), "language", ["split_rank", "row_idx"]
     )
@@ -290,15 +292,16 @@ def fill_to_quota(spark, sf_dir):
 
 
 @query(
-    """SELECT lang AS language, doc_id AS row_idx FROM documents
-WHERE doc_id < CASE lang WHEN 'en' THEN 151 WHEN 'de' THEN 151 ELSE 150 END"""
+    """SELECT lang AS language, doc_id AS row_idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM documents)
+WHERE place < CASE lang WHEN 'en' THEN 151 WHEN 'de' THEN 151 ELSE 150 END"""
 )
 def single_split_limit(spark, sf_dir):
-    """Without fill the quota counts the rows considered, valid or not."""
+    """Without fill the quota counts the rows considered of each language, valid or not."""
     rows = table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("language"), F.col("doc_id").alias("row_idx")
+        F.col("lang").alias("language"), F.lit(0).alias("split_rank"), F.col("doc_id").alias("row_idx")
     )
-    return within_row_limit(rows, language_quotas(602, ["en", "de", "fr", "es"]))
+    return within_row_limit(rows, language_quotas(602, ["en", "de", "fr", "es"])).drop("split_rank")
 
 
 @query(
@@ -309,7 +312,7 @@ FROM r LEFT JOIN k USING (lang, split_rank)"""
 )
 def dedup_counts(spark, sf_dir):
     """Rows read, kept and dropped as duplicates per language and split."""
-    rows = keyed_documents(spark, sf_dir)
+    rows = checkpointed(keyed_documents(spark, sf_dir))
     read = rows.groupBy("language", "split_rank").agg(F.count("*").alias("read"))
     kept = (
         first_seen(rows, ["language", "key"], ["split_rank", "row_idx"])

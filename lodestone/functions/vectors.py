@@ -51,10 +51,13 @@ def to_matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    if column.null_count:
+        raise ValueError(f"{column.null_count} vectors are NULL")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if rows and flat.size % rows:
+    lengths = np.diff(column.offsets.to_numpy())
+    if rows and (lengths != lengths[0]).any():
         raise ValueError("vectors differ in length")
-    return flat.reshape(rows, flat.size // rows if rows else 0)
+    return flat.reshape(rows, int(lengths[0]) if rows else 0)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:

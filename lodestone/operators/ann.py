@@ -22,12 +22,9 @@ from pyspark.sql import types as T
 
 from lodestone.functions.arrow import with_arrow_column
 from lodestone.functions.vectors import from_matrix, to_matrix, unit_rows
+from lodestone.operators.lineage import checkpointed
 from lodestone.operators.nearest import nearest
 
-# Training points per centroid, as in common k-means practice for
-# inverted files. Every row is indexed; only training is limited.
-TRAINING_POINTS_PER_CENTROID = 256
-
 # Stored metadata is split by a hash of the item id, for point lookups.
 LOOKUP = "lookup_part"
 LOOKUP_PARTS = 64
@@ -52,16 +49,6 @@ INDEX_DEFAULTS = {
 }
 
 
-def training_sample(vectors: DataFrame, item_id: str, centroids: int) -> DataFrame:
-    """Hash-chosen training rows; the whole table when it is small enough."""
-    wanted = centroids * TRAINING_POINTS_PER_CENTROID
-    total = vectors.count()
-    if total <= wanted:
-        return vectors
-    slots = 1_000_000
-    return vectors.filter(F.pmod(F.xxhash64(item_id), F.lit(slots)) < int(wanted / total * slots))
-
-
 def _kmeans(frame: DataFrame, column, k: int, seed: int, measure: str) -> np.ndarray:
     model = (
         KMeans(k=k, seed=seed, distanceMeasure=measure, featuresCol="_v", maxIter=20)
@@ -71,36 +58,31 @@ def _kmeans(frame: DataFrame, column, k: int, seed: int, measure: str) -> np.nda
 
 
 def train_centroids(
-    vectors: DataFrame, nlist: int, *, item_id="chunk_id", item_vector="embedding", seed=42
+    vectors: DataFrame, nlist: int, *, item_vector="embedding", seed=42
 ) -> np.ndarray:
-    """Spherical k-means centroids, one per inverted-file cell."""
-    sample = training_sample(vectors, item_id, nlist)
-    return unit_rows(_kmeans(sample, F.col(item_vector).cast("array<double>"), nlist, seed, "cosine"))
+    """Spherical k-means centroids over all vectors, one per inverted-file cell."""
+    return unit_rows(_kmeans(vectors, F.col(item_vector).cast("array<double>"), nlist, seed, "cosine"))
 
 
 def train_codebooks(
-    vectors: DataFrame, m: int, bits: int = 8, *,
-    item_id="chunk_id", item_vector="embedding", seed=42,
+    vectors: DataFrame, m: int, bits: int = 8, *, item_vector="embedding", seed=42,
 ) -> np.ndarray:
-    """``(m, codewords, d/m)`` product-quantiser codebooks by k-means per sub-space."""
+    """``(m, codewords, d/m)`` product-quantiser codebooks by k-means per sub-space, over all vectors."""
     if not 1 <= bits <= 8:
         raise ValueError("codes hold between 1 and 8 bits")
     dimension = vectors.select(F.size(item_vector)).first()[0]
     if dimension % m:
         raise ValueError(f"pq_m={m} must divide the dimension {dimension}")
     width = dimension // m
-    sample = training_sample(vectors, item_id, 2**bits).persist()
-    try:
-        books = [
-            _kmeans(
-                sample,
-                F.slice(F.col(item_vector).cast("array<double>"), part * width + 1, width),
-                2**bits, seed, "euclidean",
-            )
-            for part in range(m)
-        ]
-    finally:
-        sample.unpersist()
+    rows = checkpointed(vectors.select(item_vector))
+    books = [
+        _kmeans(
+            rows,
+            F.slice(F.col(item_vector).cast("array<double>"), part * width + 1, width),
+            2**bits, seed, "euclidean",
+        )
+        for part in range(m)
+    ]
     # k-means may return fewer centres than asked for; pad by repetition.
     size = max(len(b) for b in books)
     return np.stack([np.vstack([b, np.repeat(b[-1:], size - len(b), axis=0)]) for b in books])
@@ -144,14 +126,25 @@ def probe_cells(
 
 
 def _packed(column) -> np.ndarray:
-    """Arrow binary column of equal-length values to an ``(n, bytes)`` matrix."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+    """Arrow binary column of equal-length values to an ``(n, bytes)`` matrix, without copies."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        raise ValueError("a code is missing")
+    rows = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + rows + 1]
+    width = int(offsets[1] - offsets[0]) if rows else 0
+    if rows and (np.diff(offsets) != width).any():
+        raise ValueError("codes differ in length")
+    data = column.buffers()[2] if rows and width else b""
+    return np.frombuffer(data, np.uint8, rows * width, int(offsets[0]) if rows and width else 0).reshape(rows, width)
 
 
 def _pack(rows: np.ndarray) -> pa.Array:
     rows = np.ascontiguousarray(rows)
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+    count, width = rows.shape[0], rows.shape[1] * rows.itemsize if rows.ndim == 2 else 0
+    offsets = np.arange(count + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
 
 
 @dataclass
@@ -295,7 +288,7 @@ def build_index(
 
     if index_type.startswith("ivf"):
         index.centroids = (
-            centroids if centroids is not None else train_centroids(items, p["nlist"], **names)
+            centroids if centroids is not None else train_centroids(items, p["nlist"], item_vector=item_vector)
         )
         index.items = assign_cells(items, index.centroids, item_vector)
     coarse = index.centroids
@@ -310,7 +303,7 @@ def build_index(
                 index.items, T.StructField(item_vector, T.ArrayType(T.FloatType())),
                 lambda b: from_matrix(residual(b)),
             )
-            codebooks = train_codebooks(rest, p["pq_m"], pq_bits, **names)
+            codebooks = train_codebooks(rest, p["pq_m"], pq_bits, item_vector=item_vector)
         index.codec = PqCodec(codebooks)
     elif index_type == "ivf_sq":
         index.codec = HalfCodec()

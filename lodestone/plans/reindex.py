@@ -11,7 +11,7 @@ from lodestone.functions.vectors import norm_stats
 from lodestone.operators.ann import INDEX_TYPES, VectorIndex, build_index
 from lodestone.operators.metrics import result_overlap
 from lodestone.report import format_size
-from lodestone.sources.index_store import _exists, load_index, save_index, stored_bytes
+from lodestone.sources.index_store import TECHNICAL, _exists, index_bytes, load_index, save_index
 
 CHECK_QUERIES = 100
 CHECK_TOP = 10
@@ -58,8 +58,9 @@ def reindex(
     output = output or default_output(source, index_type, is_evaluation)
     if _exists(spark, output) and not force:
         raise FileExistsError(f"{output} exists; use force to overwrite")
+    # What another kind left beside the vectors is no part of the new index.
     exact = VectorIndex(
-        "flat", stored.items, stored.item_id, stored.item_vector, details=stored.details
+        "flat", stored.items.drop(*TECHNICAL), stored.item_id, stored.item_vector, details=stored.details
     )
     stats = norm_stats(exact.items, exact.item_vector).first().asDict()
     report = {"source": source, "output": output, "index_type": index_type, **stats}
@@ -76,7 +77,7 @@ def reindex(
             reader(f"{source}/{extra}").write.mode("overwrite").format(kind).save(f"{output}/{extra}")
     saved = load_index(spark, output)
     recall = check_recall(exact, saved)
-    before, after = stored_bytes(spark, source), stored_bytes(spark, output)
+    before, after = index_bytes(spark, source), index_bytes(spark, output)
     return {
         **report,
         "recall_at_10": recall,
