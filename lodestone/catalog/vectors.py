@@ -8,11 +8,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query, table
+from lodestone.config import SearchConfig
 from lodestone.functions.vectors import l2_normalize, norm_stats, unit_double, unit_rows
 from lodestone.operators.ann import assign_cells, build_index
+from lodestone.operators.lineage import checkpointed
 from lodestone.operators.metrics import METRICS, result_overlap, retrieval_metrics
 from lodestone.operators.nearest import nearest
 from lodestone.operators.rank import parent_rank, top_per_group_merged
+from lodestone.plans.search import retrieve_own_language
 
 IDS = {"query_id": "query_id", "item_id": "vec_id"}
 BITS = 128
@@ -315,6 +318,49 @@ def hnsw_topk(spark, sf_dir):
     return index.search(as_queries(items), 10)
 
 
+FILTER_KINDS = ("flat", "hnsw", "ivf_flat", "ivf_sq")
+
+
+@query(
+    f"""WITH sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+k AS (SELECT unnest([{', '.join(f"'{kind}'" for kind in FILTER_KINDS)}]) AS index_type)
+SELECT index_type, CAST(sum(n * least(n, 10)) AS BIGINT) AS result_rows, true AS own_label_only, true AS finds_nine_in_ten
+FROM sizes, k GROUP BY index_type"""
+)
+def language_filter_kinds(spark, sf_dir):
+    """Every vector searched among those of its own label, by each kind of index.
+
+    The beam of the graph is far narrower than a label, and the inverted files
+    visit eight of their ten cells, so recall is compared with a floor, and rows must be complete.
+    """
+    items = vectors(spark, sf_dir).withColumn("language", F.col("label").cast("string"))
+    queries = as_queries(items, "language")
+    config = SearchConfig(retrieval_top_k=10)
+    truth = checkpointed(nearest(queries, items, 10, on="language", **IDS).drop("language"))
+    known = items.select(F.col("vec_id"), F.col("language").alias("found"))
+    asked = queries.select("query_id", F.col("language").alias("wanted"))
+    out = []
+    for kind in FILTER_KINDS:
+        means = label_means(items) if kind.startswith("ivf") else None
+        index = build_index(
+            items, kind, item_id="vec_id", hnsw_m=16, hnsw_ef_search=48, nprobe=8,
+            centroids=None if means is None else unit_rows(means),
+        )
+        found = checkpointed(retrieve_own_language(queries, index, config))
+        placed = found.join(known, "vec_id").join(asked, "query_id")
+        out.append(
+            placed.agg(F.count("*").alias("result_rows"), F.bool_and(F.col("found") == F.col("wanted")).alias("own_label_only"))
+            .withColumn("index_type", F.lit(kind))
+            .join(
+                result_overlap(truth, found, item_id="vec_id").select(
+                    F.lit(kind).alias("index_type"), (F.col("recall") >= 0.9).alias("finds_nine_in_ten")
+                ),
+                "index_type",
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 RECALL_KINDS = {"ivf_flat": IVF_FLAT, "ivf_sq": IVF_SQ, "ivf_pq": IVF_PQ, "pq": PQ, "lsh": LSH}
 
 

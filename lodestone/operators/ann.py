@@ -214,17 +214,25 @@ class VectorIndex:
 
     def search(
         self, queries: DataFrame, k: int, *, query_id="query_id", query_vector="query_embedding",
-        **options,
+        own: str | None = None, **options,
     ) -> DataFrame:
-        """Top-k items per query; LSH scores are negated Hamming distances."""
+        """Top-k items per query; LSH scores are negated Hamming distances.
+
+        ``own`` names a column of both sides: each query then searches only the
+        items that share its value.
+        """
         if self.edges is not None:
             from lodestone.operators.graph import search_graph
 
-            return search_graph(self, queries, k, query_id=query_id, query_vector=query_vector)
-        on = None
+            return search_graph(self, queries, k, query_id=query_id, query_vector=query_vector, own=own)
+        items, on = self.items, own
         if self.centroids is not None:
             queries = probe_cells(queries, self.centroids, self.nprobe, query_vector)
             on = "cell"
+            if own is not None:
+                on, place = "_place", F.concat_ws("#", F.col("cell").cast("string"), F.col(own).cast("string"))
+                queries = queries.filter(F.col(own).isNotNull()).withColumn(on, place)
+                items = items.filter(F.col(own).isNotNull()).withColumn(on, place)
         if isinstance(self.codec, SignCodec):
             codec = self.codec
             queries = with_arrow_column(
@@ -235,11 +243,12 @@ class VectorIndex:
                 ),
             )
         found = nearest(
-            queries, self.items, k, query_id=query_id, query_vector=query_vector,
+            queries, items, k, query_id=query_id, query_vector=query_vector,
             item_id=self.item_id, item_vector=self.item_vector, on=on,
-            decode=self._decoder(), decode_from=("code", "cell") if on else ("code",),
+            decode=self._decoder(), decode_from=("code",) if self.centroids is None else ("code", "cell"),
             normalize=not isinstance(self.codec, SignCodec), **options,
-        ).drop("cell")
+        )
+        found = found.drop(on) if on else found
         if isinstance(self.codec, SignCodec):
             bits = len(self.codec.planes)
             found = found.withColumn("score", (F.col("score") - bits) / 2)
@@ -283,7 +292,7 @@ def build_index(
 
         return build_graph(
             items, **names, m=p["hnsw_m"], ef_construction=p["hnsw_ef_construction"],
-            ef_search=p["hnsw_ef_search"],
+            ef_search=p["hnsw_ef_search"], group="language" if "language" in items.columns else None,
         )
 
     if index_type.startswith("ivf"):

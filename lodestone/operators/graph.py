@@ -1,10 +1,13 @@
 """Layered neighbour graph (the ``hnsw`` kind) as tables and joins.
 
 Build: every item draws a level from a geometric distribution; each layer links
-its members to near items found by an inverted-file join. Search: all queries
-walk the layers together. One round joins the unexpanded beam with the edges,
-scores the new nodes and keeps the best ``ef`` per query, so the state never
-exceeds ``ef`` rows per query.
+its members to near items found by an inverted-file join. Items of different
+groups (languages) are never linked: each group is a graph of its own inside the
+same tables, so a search may be restricted to some of them and loses nothing.
+
+Search: all queries walk the layers of all their groups together. One round joins
+the unexpanded beam with the edges, scores the new nodes and keeps the best
+``ef`` per query and group, until no beam has anything left to expand.
 """
 
 from __future__ import annotations
@@ -19,72 +22,102 @@ from pyspark.sql import types as T
 
 from lodestone.functions.arrow import with_arrow_column
 from lodestone.functions.vectors import to_matrix, unit_rows
-from lodestone.operators.ann import VectorIndex, assign_cells, probe_cells
-from lodestone.operators.nearest import SCORE_SCALE, nearest
+from lodestone.operators.ann import VectorIndex
 from lodestone.operators.lineage import checkpointed
+from lodestone.operators.nearest import SCORE_SCALE, nearest
 
-EXACT_LAYER_ROWS = 20_000
-COPY_SALTS = 8
-ENTRY_WIDTH = 4
-ENTRY_LAYER_ROWS = 4_096
+#: Cells that a new item looks into for neighbours.
 BUILD_PROBES = 8
-MAX_ROUNDS = 64
+#: Cells of a group in a layer: half the root of its rows, up to this many.
+MOST_CELLS = 4_096
+#: Sides of a join are broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
+_SLOTS = 1 << 30
+
+
+def _group(column: str | None):
+    return F.lit("") if column is None else F.coalesce(F.col(column).cast("string"), F.lit(""))
+
 
+def _light(frame: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    return F.broadcast(frame) if rows * row_bytes <= BROADCAST_BYTES else frame
 
-def with_representative(items: DataFrame, item_id: str, item_vector: str) -> DataFrame:
-    """Add ``rep``: the smallest id among items with the same vector.
+
+def with_representative(items: DataFrame, item_id: str, item_vector: str, group: str | None = None) -> DataFrame:
+    """Add ``rep``: the smallest id among items of the group with the same vector.
 
     Only representatives enter the graph, so copies cannot crowd each other out
-    of the adjacency lists. Vectors are compared by a 128-bit content hash; the
-    join back is salted because one vector may have very many copies.
+    of the adjacency lists. Vectors are compared by a 128-bit content hash. One vector may have
+    very many copies; they are the large side of a join with unique keys, which
+    adaptive execution splits.
     """
     vector = F.col(item_vector)
     keyed = items.withColumns(
-        {
-            "_h1": F.xxhash64(vector),
-            "_h2": F.xxhash64(F.lit("copy"), vector),
-            "_salt": F.pmod(F.xxhash64(item_id), F.lit(COPY_SALTS)).cast("int"),
-        }
-    )
-    reps = (
-        keyed.groupBy("_h1", "_h2").agg(F.min(item_id).alias("rep"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
-        .toDF("_h1", "_h2", "rep", "_salt")
+        {"_g": _group(group), "_h1": F.xxhash64(vector), "_h2": F.xxhash64(F.lit("copy"), vector)}
     )
-    keys = ["_h1", "_h2", "_salt"]
+    keys = ["_g", "_h1", "_h2"]
+    reps = keyed.groupBy(*keys).agg(F.min(item_id).alias("rep")).toDF(*keys, "rep")
     return keyed.join(reps, keys).select(*items.columns, "rep")
 
 
 def with_level(items: DataFrame, item_id: str, m: int) -> DataFrame:
     """Add ``level``: 0 for most rows, one higher with probability 1/m each time."""
-    slots = 1 << 30
-    uniform = (F.pmod(F.xxhash64(item_id), F.lit(slots)) + 1) / F.lit(float(slots))
+    uniform = (F.pmod(F.xxhash64(item_id), F.lit(_SLOTS)) + 1) / F.lit(float(_SLOTS))
     return items.withColumn("level", F.floor(-F.log(uniform) / math.log(m)).cast("int"))
 
 
-def _layer_links(layer, rows, item_id, item_vector, m, candidates) -> DataFrame:
+class Cells:
+    """Centroids of every group; a place is written ``group#cell``."""
+
+    def __init__(self, chosen: pa.Table) -> None:
+        groups = np.array(chosen.column("_g").to_pylist(), dtype=object)
+        matrix = unit_rows(to_matrix(chosen.column("_v"))) if len(groups) else np.empty((0, 0))
+        self.of = {g: matrix[groups == g] for g in set(groups.tolist())}
+
+    def places(self, groups: list[str], vectors: np.ndarray, probes: int) -> list[list[str]]:
+        """The best cells of each vector's own group, the best first."""
+        found: list[list[str]] = [[f"{g}#0"] for g in groups]
+        names = np.array(groups, dtype=object)
+        for group in set(groups):
+            if (centroids := self.of.get(group)) is not None:
+                at = np.flatnonzero(names == group)
+                best = np.argsort(-(vectors[at] @ centroids.T), axis=1, kind="stable")[:, :probes]
+                for i, cells in zip(at.tolist(), best.tolist()):
+                    found[i] = [f"{group}#{c}" for c in cells]
+        return found
+
+
+def _placed(frame: DataFrame, cells: Cells, vector: str, probes: int) -> DataFrame:
+    """Add ``_place``, with one row for each of the ``probes`` best cells."""
+
+    def compute(batch):
+        vectors = unit_rows(to_matrix(batch.column(vector)))
+        return pa.array(cells.places(batch.column("_g").to_pylist(), vectors, probes), pa.list_(pa.string()))
+
+    found = with_arrow_column(frame, T.StructField("_places", T.ArrayType(T.StringType())), compute)
+    return found.withColumn("_place", F.explode("_places")).drop("_places")
+
+
+def _layer_links(layer: DataFrame, rows: dict[str, int], item_id, item_vector, m, candidates, probes) -> DataFrame:
     """Outgoing links ``src, dst, score`` of one layer, at most m per item.
 
-    Most links are the nearest items; the rest are the best item of each further
-    cell, which keeps dense groups of copies connected to their surroundings.
+    About ``candidates`` items from the best cells of the item's own group are looked at. Most
+    links are the nearest of them; the rest are the best item of each further cell,
+    which keeps dense groups of copies connected to their surroundings.
     """
     # Cells only steer the choice of links, so hash-chosen items serve as centroids.
-    chosen = layer.orderBy(F.xxhash64(item_id)).limit(math.isqrt(rows) // 2).select(item_vector)
-    centroids = unit_rows(to_matrix(chosen.toArrow().column(0))) if rows > 2 * m else None
-    cells = layer if centroids is None else assign_cells(layer, centroids, item_vector)
-    starts = layer.select(F.col(item_id).alias("src"), F.col(item_vector).alias("query_embedding"))
-    if centroids is None:
-        found = nearest(
-            starts, cells, m, query_id="src", item_id=item_id, item_vector=item_vector,
-        ).withColumn("_cell_rank", F.lit(2))
-    else:
-        # Small layers look into every cell; large ones into the nearest few.
-        probes = len(centroids) if rows <= EXACT_LAYER_ROWS else BUILD_PROBES
-        found = nearest(
-            probe_cells(starts, centroids, probes), cells, min(m, candidates), query_id="src",
-            item_id=item_id, item_vector=item_vector, on="cell", per_group=True,
-        ).withColumnRenamed("rank", "_cell_rank")
-    found = found.filter(F.col("src") != F.col(item_id))
+    share = F.lit(0.0)
+    for group, n in rows.items():
+        wanted = min(MOST_CELLS, max(1, math.isqrt(n) // 2))
+        share = F.when(F.col("_g") == group, F.lit(wanted / n)).otherwise(share)
+    chosen = layer.filter(F.pmod(F.xxhash64(F.lit("cell"), item_id), F.lit(_SLOTS)) < share * _SLOTS)
+    cells = Cells(chosen.orderBy(item_id).select("_g", F.col(item_vector).alias("_v")).toArrow())
+    placed = _placed(layer.select(item_id, item_vector, "_g"), cells, item_vector, 1)
+    starts = layer.select(F.col(item_id).alias("src"), F.col(item_vector).alias("query_embedding"), "_g")
+    found = nearest(
+        _placed(starts, cells, "query_embedding", probes), placed, max(1, -(-candidates // probes)) + 1,
+        query_id="src", item_id=item_id, item_vector=item_vector, on="_place", per_group=True,
+    ).withColumnRenamed("rank", "_cell_rank").filter(F.col("src") != F.col(item_id))
     overall = Window.partitionBy("src").orderBy(F.desc("score"), F.asc(item_id))
     spread_to = Window.partitionBy("src", F.col("_cell_rank") == 1).orderBy(F.desc("score"), F.asc(item_id))
     far = max(1, m // 4)
@@ -99,20 +132,24 @@ def _layer_links(layer, rows, item_id, item_vector, m, candidates) -> DataFrame:
 
 def build_graph(
     items: DataFrame, *, item_id="chunk_id", item_vector="embedding",
-    m=32, ef_construction=200, ef_search=64,
+    m=32, ef_construction=200, ef_search=64, group: str | None = None, probes: int = BUILD_PROBES,
 ) -> VectorIndex:
-    """Levels and adjacency lists. Links are kept both ways, at most 2m per item."""
+    """Levels and adjacency lists, one graph for each value of ``group``. Links are kept both ways, at most 2m per item."""
     leveled = checkpointed(
-        with_level(with_representative(items, item_id, item_vector), item_id, m)
+        with_level(with_representative(items, item_id, item_vector, group), item_id, m)
     )
     nodes = leveled.filter(F.col(item_id) == F.col("rep"))
-    narrow = nodes.select(item_id, item_vector, "level")
-    counts = {r["level"]: r["count"] for r in narrow.groupBy("level").count().collect()}
+    narrow = nodes.select(item_id, item_vector, "level", _group(group).alias("_g"))
+    # One number for each group and level.
+    counts = narrow.groupBy("_g", "level").count().collect()
     layers = []
-    for level in range(max(counts, default=-1) + 1):
-        rows = sum(n for at, n in counts.items() if at >= level)
+    for level in range(max((r["level"] for r in counts), default=-1) + 1):
+        rows: dict[str, int] = {}
+        for r in counts:
+            if r["level"] >= level:
+                rows[r["_g"]] = rows.get(r["_g"], 0) + r["count"]
         layer = narrow.filter(F.col("level") >= level)
-        out = checkpointed(_layer_links(layer, rows, item_id, item_vector, m, ef_construction))
+        out = checkpointed(_layer_links(layer, rows, item_id, item_vector, m, ef_construction, probes))
         back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
         best = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
         # Copies may all point at one item; Spark trims to m per task before the shuffle.
@@ -135,12 +172,12 @@ def build_graph(
         edges = union.groupBy("level", "src").agg(F.collect_set("dst").alias("links"))
     return VectorIndex(
         "hnsw", leveled, item_id, item_vector, edges=checkpointed(edges),
-        options={"m": m, "ef_construction": ef_construction, "ef_search": ef_search},
+        options={"m": m, "ef_construction": ef_construction, "ef_search": ef_search, "group": group},
     )
 
 
 def _scored(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores of ``_q, node`` pairs, rounded like the exact join."""
+    """Scores of ``_q, _g, node`` rows, rounded like the exact join."""
     joined = pairs.join(vectors, "node").join(queries, "_q")
 
     def compute(batch):
@@ -150,60 +187,68 @@ def _scored(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFra
         return pa.array(score + 0.0, pa.float64())
 
     scored = with_arrow_column(joined, T.StructField("score", T.DoubleType()), compute)
-    return scored.select("_q", "node", "score")
+    return scored.select("_q", "_g", "node", "score")
 
 
 def search_graph(
     index: VectorIndex, queries: DataFrame, k: int, *, query_id="query_id",
-    query_vector="query_embedding",
+    query_vector="query_embedding", own: str | None = None,
 ) -> DataFrame:
-    """Beam search of all queries at once; result columns as in the exact join."""
-    vectors = index.items.filter(F.col(index.item_id) == F.col("rep")).select(
-        F.col(index.item_id).alias("node"), F.col(index.item_vector).alias("_iv"), "level"
+    """Beam search of all queries at once; columns as in the exact join.
+
+    Every group that the items hold is searched, or, with ``own``, each query's own.
+    """
+    if own is not None and own != index.options.get("group"):
+        raise ValueError(f"the graph is not grouped by {own}")
+    group = index.options.get("group")
+    nodes = index.items.filter(F.col(index.item_id) == F.col("rep")).select(
+        F.col(index.item_id).alias("node"), F.col(index.item_vector).alias("_iv"), "level", _group(group).alias("_g")
     )
-    asked = checkpointed(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv")))
-    # Start at the lowest upper layer that one matrix product can score outright.
-    counts = {r["level"]: r["count"] for r in vectors.groupBy("level").count().collect()}
-    top = max(counts, default=None)
-    while top is not None and top > 1 and sum(
-        n for at, n in counts.items() if at >= top - 1
-    ) <= ENTRY_LAYER_ROWS:
-        top -= 1
-    order = [F.desc("score"), F.asc("node")]
-    final = Window.partitionBy("_q").orderBy(*order)
-    if top is None:
-        empty = nearest(
+    # One row for each group: where its graph is entered.
+    tops = {r["_g"]: r["top"] for r in nodes.groupBy("_g").agg(F.max("level").alias("top")).collect()}
+    if not tops:
+        return nearest(
             queries, index.items, k, query_id=query_id, query_vector=query_vector,
             item_id=index.item_id, item_vector=index.item_vector,
         )
-        return empty
+    where = F.array(*(F.lit(name) for name in sorted(tops))) if own is None else F.array(_group(own))
+    asked = checkpointed(
+        queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), where.alias("_gs"))
+    )
+    first = asked.select(F.size("_qv").alias("n")).first()
+    known = _light(asked.drop("_gs"), asked.count(), 8 * (first["n"] if first else 1) + 32)
+    top = F.lit(-1)
+    for name, level in tops.items():
+        top = F.when(F.col("_g") == name, F.lit(level)).otherwise(top)
+    degree = index.options.get("m", 32)
+    every = asked.withColumn("_g", F.explode("_gs")).drop("_gs")
     entry = nearest(
-        asked, vectors.filter(F.col("level") >= top), ENTRY_WIDTH, query_id="_q",
-        query_vector="_qv", item_id="node", item_vector="_iv",
+        every, nodes.filter(F.col("level") == top), degree, query_id="_q", query_vector="_qv",
+        item_id="node", item_vector="_iv", on="_g", per_group=True,
     )
-    beam = entry.select("_q", "node", "score", F.lit(False).alias("expanded"))
-    width = {0: max(k, index.options.get("ef_search", 64))}
-    narrow = vectors.drop("level")
-    for level in range(top, -1, -1):
-        ef = width.get(level, ENTRY_WIDTH)
-        links = index.edges.filter(F.col("level") == level).select(
-            F.col("src").alias("node"), "links"
-        )
+    beam = entry.select("_q", "_g", "node", "score")
+    order = [F.desc("score"), F.asc("node")]
+    final = Window.partitionBy("_q", "_g").orderBy(*order)
+    vectors = nodes.select("node", "_iv")
+    for level in range(max(tops.values()), -1, -1):
+        ef = max(k, index.options.get("ef_search", 64)) if level == 0 else degree
+        links = index.edges.filter(F.col("level") == level).select(F.col("src").alias("node"), "links")
         beam = checkpointed(beam.withColumn("expanded", F.lit(False)))
-        for _ in range(MAX_ROUNDS):
-            frontier = beam.filter(~F.col("expanded"))
-            if frontier.isEmpty():
-                break
-            reached = frontier.join(links, "node").select("_q", F.explode("links").alias("node")).distinct()
-            fresh = reached.join(beam.select("_q", "node").toDF("_q", "node"), ["_q", "node"], "left_anti")
+        while waiting := beam.filter(~F.col("expanded")).count():
+            frontier = _light(beam.filter(~F.col("expanded")), waiting, 64)
+            reached = links.join(frontier, "node").select("_q", "_g", F.explode("links").alias("node")).distinct()
+            seen = beam.select("_q", "_g", "node").toDF("_q", "_g", "node")
+            fresh = _light(reached.join(seen, ["_q", "_g", "node"], "left_anti"), waiting * 2 * degree, 64)
             grown = beam.withColumn("expanded", F.lit(True)).unionByName(
-                _scored(fresh, narrow, asked).withColumn("expanded", F.lit(False))
+                _scored(fresh, vectors, known).withColumn("expanded", F.lit(False))
             )
             # A node outside the best ef can never come back, so it is forgotten.
             beam = checkpointed(
                 grown.withColumn("_n", F.row_number().over(final)).filter(F.col("_n") <= ef).drop("_n")
             )
-    best = beam.withColumn("_n", F.row_number().over(final)).filter(F.col("_n") <= k)
+        beam = beam.drop("expanded")
+    overall = Window.partitionBy("_q").orderBy(*order)
+    best = beam.withColumn("_n", F.row_number().over(overall)).filter(F.col("_n") <= k)
     # Copies share their representative's score: the k smallest ids can matter.
     smallest = Window.partitionBy("node").orderBy("member")
     members = (
@@ -211,10 +256,10 @@ def search_graph(
         .join(best.select("node").distinct().toDF("node"), "node", "left_semi")
         .withColumn("_m", F.row_number().over(smallest)).filter(F.col("_m") <= k)
     )
-    every = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc("member"))
+    ranked = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc("member"))
     return (
         best.join(members, "node")
-        .withColumn("rank", F.row_number().over(every))
+        .withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= k)
         .select(F.col("_q").alias(query_id), F.col("member").alias(index.item_id), "score", "rank")
     )
