@@ -117,7 +117,7 @@ def contamination(
     )
     touched = report.where("size(window_ids) > 0").select("doc_id", "text_hash", F.explode("window_ids").alias("window_id"))
     items = (
-        touched.join(broadcast_if_small(held, row_bytes=48), "window_id")
+        touched.join(broadcast_if_small(held), "window_id")
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
         .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "items")
@@ -151,8 +151,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "do
         contamination(docs, benchmark, doc_id, text, **options)
         .where("contaminated")
         .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .distinct(),
-        row_bytes=48,
+        .distinct()
     )
     same = docs[doc_id].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs[text]) == dirty["_hash"])
     return docs.join(dirty, same, "left_anti")

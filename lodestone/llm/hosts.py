@@ -150,7 +150,7 @@ def judge_urls(
     worst = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
     known = host_reputation(located.join(worst, "page_id").select("host", "bad"), limits)
     table = broadcast_if_small(
-        known.select("host", "blocked", F.col("pages").alias("host_pages"), F.col("bad").alias("host_bad")), row_bytes=128
+        known.select("host", "blocked", F.col("pages").alias("host_pages"), F.col("bad").alias("host_bad"))
     )
     ruled = located.withColumn("_ruled", longest_rule(rules, F.col("host"), F.col("path")))
     own = F.when(F.coalesce(F.col("blocked"), F.lit(False)), "block").otherwise("allow")

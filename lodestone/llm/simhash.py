@@ -263,7 +263,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
         near_duplicates(docs, doc_id, text, shingle, bits)
         .where("doc_id > component_id")
         .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .distinct(),
-        row_bytes=48,
+        .distinct()
     )
     return docs.join(gone, (docs[doc_id] == gone["_id"]) & (F.xxhash64(docs[text]) == gone["_hash"]), "left_anti")

@@ -24,7 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def broadcast_if_small(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Materialise a frame, and mark it for broadcast if its rows of about ``row_bytes`` fit the limit."""
+def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a frame of plain columns, measure it, and mark it for broadcast if it fits the limit."""
     ready = checkpointed(frame)
-    return F.broadcast(ready) if ready.count() * row_bytes <= limit else ready
+    texts = [F.coalesce(F.sum(F.octet_length(name)), F.lit(0)) for name, kind in frame.dtypes if kind in ("string", "binary")]
+    size = ready.agg((F.count(F.lit(1)) * (32 + 16 * len(frame.columns))).alias("rows"), *texts).first()
+    return F.broadcast(ready) if sum(size) <= limit else ready

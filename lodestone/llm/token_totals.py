@@ -77,32 +77,35 @@ class TokenTotals:
 
         Events are (doc_id, version, source, lang, tokens, deleted). Of several
         events for one key the last in order of (deleted, tokens, source, lang) counts, so repeated
-        rows count once. Deletes of unknown keys change nothing. A null doc_id, version or
-        count is refused; null source or lang form a group of their own.
+        rows count once. Deletes of unknown keys change nothing. A null version, source or
+        lang is a value of its own and a null count is 0. Upserts without a doc_id each add
+        their count for good, since nothing can name them later; deletes without one change
+        nothing. One writer commits at a time.
         """
         committed = self._committed()
         if any(entry["batch_id"] == batch_id for entry in committed):
             return False
         sequence = max((entry["sequence"] for entry in committed), default=0) + 1
         place = f"{self.folder}/batches/{sequence}-{uuid.uuid4().hex}"
-        checked = events.select(
-            F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(F.raise_error(F.lit("an event has no doc_id"))).cast("bigint").alias("doc_id"),
-            F.when(F.col("version").isNotNull(), F.col("version")).otherwise(F.raise_error(F.lit("an event has no version"))).alias("version"),
-            "source", "lang",
-            F.when(F.coalesce("deleted", F.lit(False)), F.lit(None).cast("bigint")).when(F.col("tokens").isNotNull(), F.col("tokens"))
-            .otherwise(F.raise_error(F.lit("an upsert has no count"))).alias("tokens"),
+        gone = F.coalesce("deleted", F.lit(False))
+        known = events.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"), "version", "source", "lang",
+            F.when(~gone, F.coalesce(F.col("tokens").cast("bigint"), F.lit(0).cast("bigint"))).alias("tokens"),
         )
-        last = checked.groupBy(*KEYS).agg(
+        last = known.where("doc_id IS NOT NULL").groupBy(*KEYS).agg(
             F.max_by(F.struct("source", "lang", "tokens"), F.struct(F.col("tokens").isNull(), "tokens", "source", "lang")).alias("_now")
         )
-        changes = last.select(*KEYS, "_now.*")
-        changes.withColumn("sequence", F.lit(sequence).cast("bigint")).write.parquet(f"{place}/ledger")
+        last.select(*KEYS, "_now.*", F.lit(sequence).cast("bigint").alias("sequence")).write.parquet(f"{place}/ledger")
         changes = self.spark.read.schema(LEDGER).parquet(f"{place}/ledger").drop("sequence")
-        added = changes.where("tokens IS NOT NULL").select(*GROUP, F.lit(1).alias("sign"), "tokens")
-        signed = added
+        nameless = known.where("doc_id IS NULL AND tokens IS NOT NULL")
+        added = changes.where("tokens IS NOT NULL").unionByName(nameless)
+        signed = added.select(*GROUP, F.lit(1).alias("sign"), "tokens")
         if committed:
-            replaced = self.ledger(committed).join(changes.select(*KEYS), list(KEYS), "left_semi")
-            signed = added.unionByName(replaced.select(*GROUP, F.lit(-1).alias("sign"), "tokens"))
+            touched = changes.select(*(F.col(key).alias(f"_{key}") for key in KEYS))
+            before = self.ledger(committed)
+            same = (before["doc_id"] == touched["_doc_id"]) & before["version"].eqNullSafe(touched["_version"])
+            replaced = before.join(touched, same, "left_semi")
+            signed = signed.unionByName(replaced.select(*GROUP, F.lit(-1).alias("sign"), "tokens"))
         deltas = signed.groupBy(*GROUP).agg(
             F.sum("sign").cast("bigint").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).cast("bigint").alias("tokens")
         )

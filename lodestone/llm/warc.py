@@ -56,23 +56,20 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     ).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     size = F.octet_length("payload")
     sizes = slim.agg(F.count(F.lit(1)).alias("rows"), F.sum(size.cast("bigint") + 1_500).alias("bytes")).first()
-    repeated = (
-        slim.where(size >= LEAST_REVISIT)
-        .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.min("page_id").alias("id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 AND id IS NOT NULL")
-    )
-    # The least non-null id and its url.
-    repeated = broadcast_if_small(
+    # The page with the least id of each payload that occurs again.
+    origins = (
         slim.where(size >= LEAST_REVISIT)
-        .where("page_id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"))
-        .join(repeated.select("digest"), "digest", "left_semi"),
-        row_bytes=256,
+        .agg(
+            F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .where("n > 1 AND first IS NOT NULL")
+        .select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
+    repeated = broadcast_if_small(origins)
     captures = slim.join(repeated, "digest", "left").withColumn("_row", F.monotonically_increasing_id())
-    revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     target, date = F.col("url"), F.lit("2024-01-01T00:00:00Z")
     address = F.regexp_extract(F.coalesce("url", F.lit("")), "^[^:]*://([^/?#]*)", 1)
     place = F.regexp_replace(F.coalesce("url", F.lit("")), "^[^:]*://[^/?#]*", "")
@@ -96,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     revisit = _record(
         "revisit",
         [("WARC-Record-ID", _urn("response")), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(REVISIT_PROFILE)),
-         ("WARC-Refers-To-Target-URI", F.col("first.url")), ("WARC-Refers-To-Date", date),
+         ("WARC-Refers-To-Target-URI", F.col("first_url")), ("WARC-Refers-To-Date", date),
          ("Content-Type", F.lit("application/http;msgtype=response"))],
         http,
     )
@@ -233,7 +230,7 @@ def captures_with_origin(captured: DataFrame) -> DataFrame:
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("origin"))
     )
-    return flat.join(broadcast_if_small(origins, row_bytes=128), "payload_digest", "left").select(
+    return flat.join(broadcast_if_small(origins), "payload_digest", "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("record_type") == "revisit", F.col("origin")).alias("refers_to"),
     )

@@ -567,6 +567,16 @@ def test_damaged_archives_are_refused():
 # Token totals
 
 
+def test_counts_of_texts(spark):
+    frame = spark.createDataFrame([(t,) for t in texts()], "text string").select(
+        "text", token_totals.word_count(F.col("text")).alias("words"), token_totals.word_and_mark_count(F.col("text")).alias("marks")
+    )
+    for r in frame.collect():
+        text = r.text or ""
+        assert r.words == len(WORD.findall(text))
+        assert r.marks == len(ALNUM.findall(lower(text))) + sum("!" <= c <= "~" and not c.isalnum() for c in text)
+
+
 def test_rollups_follow_inserts_revisions_and_deletes(spark, tmp_path):
     rollup = token_totals.TokenTotals(spark, f"{tmp_path}/r")
     schema = "doc_id long, version string, source string, lang string, tokens long, deleted boolean"
@@ -578,8 +588,12 @@ def test_rollups_follow_inserts_revisions_and_deletes(spark, tmp_path):
     assert rollup.apply("3", spark.createDataFrame([], schema))
     assert bag(rollup.totals().collect()) == Counter([("t", "fr", "a", 1, 12), ("s", "en", "b", 1, 7)])
     assert bag(rollup.ledger().collect()) == Counter([(1, "a", "t", "fr", 12), (1, "b", "s", "en", 7)])
-    with pytest.raises(Exception, match="doc_id"):
-        rollup.apply("4", spark.createDataFrame([(None, "a", "s", "en", 1, False)], schema))
+    odd = [(None, "a", "s", "en", 1, False), (None, "a", "s", "en", 1, False), (None, "a", "s", "en", None, True), (7, None, "s", "en", 4, False), (8, "a", None, None, None, False)]
+    assert rollup.apply("4", spark.createDataFrame(odd, schema))
+    assert rollup.apply("5", spark.createDataFrame([(7, None, "s", "en", 6, False)], schema))
+    assert bag(rollup.totals().collect()) == Counter(
+        [("t", "fr", "a", 1, 12), ("s", "en", "b", 1, 7), ("s", "en", "a", 2, 2), ("s", "en", None, 1, 6), (None, None, "a", 1, 0)]
+    )
 
 
 # Whole queries
