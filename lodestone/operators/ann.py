@@ -107,7 +107,7 @@ def assign_cells(items: DataFrame, centroids: np.ndarray, item_vector="embedding
         scores = unit_rows(to_matrix(batch.column(item_vector))) @ centroids.T
         return pa.array(np.argmax(scores, axis=1).astype(np.int32))
 
-    return with_arrow_column(items, T.StructField("cell", T.IntegerType()), compute)
+    return with_arrow_column(items, T.StructField("cell", T.IntegerType()), (item_vector,), compute)
 
 
 def probe_cells(
@@ -121,7 +121,7 @@ def probe_cells(
         best = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
         return from_matrix(best.astype(np.int32), pa.int32())
 
-    probed = with_arrow_column(queries, T.StructField("_cells", T.ArrayType(T.IntegerType())), compute)
+    probed = with_arrow_column(queries, T.StructField("_cells", T.ArrayType(T.IntegerType())), (query_vector,), compute)
     return probed.withColumn("cell", F.explode("_cells")).drop("_cells")
 
 
@@ -238,6 +238,7 @@ class VectorIndex:
             queries = with_arrow_column(
                 queries,
                 T.StructField(query_vector, T.ArrayType(T.FloatType())),
+                (query_vector,),
                 lambda b: from_matrix(
                     codec.signs(unit_rows(to_matrix(b.column(query_vector)))) * 2.0 - 1.0
                 ),
@@ -301,6 +302,7 @@ def build_index(
         )
         index.items = assign_cells(items, index.centroids, item_vector)
     coarse = index.centroids
+    used = (item_vector,) if coarse is None else (item_vector, "cell")
 
     def residual(batch) -> np.ndarray:
         matrix = unit_rows(to_matrix(batch.column(item_vector)))
@@ -309,7 +311,7 @@ def build_index(
     if index_type in ("pq", "ivf_pq"):
         if codebooks is None:
             rest = with_arrow_column(
-                index.items, T.StructField(item_vector, T.ArrayType(T.FloatType())),
+                index.items, T.StructField(item_vector, T.ArrayType(T.FloatType())), used,
                 lambda b: from_matrix(residual(b)),
             )
             codebooks = train_codebooks(rest, p["pq_m"], pq_bits, item_vector=item_vector)
@@ -322,7 +324,7 @@ def build_index(
     if index.codec is not None:
         codec = index.codec
         index.items = with_arrow_column(
-            index.items, T.StructField("code", T.BinaryType()),
+            index.items, T.StructField("code", T.BinaryType()), used,
             lambda b: _pack(codec.encode(residual(b))),
         )
     return index

@@ -94,7 +94,7 @@ def _placed(frame: DataFrame, cells: Cells, vector: str, probes: int) -> DataFra
         vectors = unit_rows(to_matrix(batch.column(vector)))
         return pa.array(cells.places(batch.column("_g").to_pylist(), vectors, probes), pa.list_(pa.string()))
 
-    found = with_arrow_column(frame, T.StructField("_places", T.ArrayType(T.StringType())), compute)
+    found = with_arrow_column(frame, T.StructField("_places", T.ArrayType(T.StringType())), (vector, "_g"), compute)
     return found.withColumn("_place", F.explode("_places")).drop("_places")
 
 
@@ -186,7 +186,7 @@ def _scored(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFra
         score = np.rint(np.einsum("ij,ij->i", left, right) * SCORE_SCALE) / SCORE_SCALE
         return pa.array(score + 0.0, pa.float64())
 
-    scored = with_arrow_column(joined, T.StructField("score", T.DoubleType()), compute)
+    scored = with_arrow_column(joined, T.StructField("score", T.DoubleType()), ("_qv", "_iv"), compute)
     return scored.select("_q", "_g", "node", "score")
 
 

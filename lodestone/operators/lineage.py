@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Sides of a join are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
@@ -23,3 +27,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
         context.setCheckpointDir(folder)
     return frame.checkpoint()
+
+
+def light(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialised frame of plain columns for broadcast if its measured size fits the limit."""
+    texts = [
+        F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
+        for name, kind in frame.dtypes if kind in ("string", "binary")
+    ]
+    size = frame.agg((F.count("*") * (32 + 16 * len(frame.columns))).alias("rows"), *texts).first()
+    return F.broadcast(frame) if sum(size) <= limit else frame

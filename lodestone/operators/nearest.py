@@ -33,9 +33,7 @@ SCORE_SCALE = 1_000_000
 BROADCAST_QUERY_ROWS = 16_384
 BROADCAST_QUERY_BYTES = 128 << 20
 PRUNED_GROUPS = 1_000
-# Scan tasks per core: each task hands over k rows per query, so very many small
-# tasks would flood the final ranking.
-SCAN_TASKS_PER_CORE = 4
+MERGE_ABOVE = 4
 BROADCAST_GROUPS = 65_536
 QUERY_BLOCK_ROWS = 16_384
 ITEM_BLOCK_ROWS = 131_072
@@ -194,13 +192,14 @@ def nearest(
                 return
             every = np.arange(len(ids))
             by_group = pd.Series(every).groupby(groups).indices if on else None
-            best = pd.DataFrame()
+            kept: list[pd.DataFrame] = []
+            held = 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 table = pa.Table.from_batches([batch])
                 vectors, item_ids = item_matrix(table), _ids(table.column(item_id))
-                parts = [best] if len(best) else []
+                parts = []
                 if on:
                     present = pd.Series(np.arange(len(item_ids))).groupby(_ids(table.column(on)))
                     for value, at in present.indices.items():
@@ -211,13 +210,16 @@ def nearest(
                             )
                 else:
                     parts.append(_block_top(vectors, item_ids, matrix, every, width))
-                if parts:
-                    best = _trim(pd.concat(parts, ignore_index=True), width)
-            if len(best):
-                yield _emit(best, ids, groups, names, types)
-
-        cores = queries.sparkSession.sparkContext.defaultParallelism
-        candidates = items.coalesce(SCAN_TASKS_PER_CORE * cores).mapInArrow(scan, schema)
+                kept += parts
+                held += sum(map(len, parts))
+                # Sort only when the buffer holds some full results for every query.
+                if held > MERGE_ABOVE * width * len(ids):
+                    kept = [_trim(pd.concat(kept, ignore_index=True), width)]
+                    held = len(kept[0])
+            if held:
+                yield _emit(_trim(pd.concat(kept, ignore_index=True), width), ids, groups, names, types)
+
+        candidates = items.mapInArrow(scan, schema)
     else:
         # Read several times below; embedding the queries again would cost more.
         narrow = checkpointed(narrow)
