@@ -58,7 +58,10 @@ def struct_column(schema: str, compute: Callable[[list[bytes]], list]) -> Callab
                     fields=[target.field(i) for i in range(target.num_fields)],
                 )
             )
-        return pa.concat_arrays(made) if made else pa.array([], type=target)
+        whole = pa.concat_arrays(made) if made else pa.array([], type=target)
+        # Workers live on; what one stage has freed must not count against the next.
+        pa.default_memory_pool().release_unused()
+        return whole
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, kind).asNondeterministic()

@@ -33,14 +33,14 @@ from lodestone.llm.batches import byte_slices
 
 TOKENIZER = "word_bpe_49k.json"
 COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 PIECES = (
     "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 )
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 #: Letters that normalisation only lower-cases. A word of them is one token run, and so is a mark behind it.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-PLAIN = re.compile(f"([{LETTERS}]+)([.,]?)")
+PLAIN = f"^[{LETTERS}]+[.,]?$"
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ class PackingRules:
     other_cut: float = 16.0
     short_sequence: float = 32.0
     other_every: int = 16
-    run_tokens: int = 1 << 21
+    run_tokens: int = 1 << 20
 
 
 class Lookup(dict):
@@ -70,12 +70,25 @@ class Lookup(dict):
         return made
 
 
+def laid_out(pool: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of ``pool``, whose lengths are ``sizes``, in the given order."""
+    length = sizes[order]
+    after = np.cumsum(length, dtype=np.int64)
+    # A slice holds far fewer than 2**31 ids; one giant text may not.
+    kind = np.int32 if not len(after) or after[-1] < 2**31 else np.int64
+    begins = np.cumsum(sizes, dtype=np.int64) - sizes
+    place = np.repeat((begins[order] - (after - length)).astype(kind), length)
+    place += np.arange(len(place), dtype=kind)
+    return pool[place]
+
+
 class WordTokens:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins across spaces, so the different words of a slice are
-    looked up once and laid out by their numbers. A word that is not known yet goes
-    to the tokenizer's model directly if it is plain, else through all of it.
+    The tokenizer never joins across spaces, so only the different words of a slice
+    matter. Plain words are lower-cased letters, perhaps with a mark behind them, and
+    either part goes to the tokenizer's model directly; others go through all of it. What
+    is known is kept; ids are laid out by array operations.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
@@ -95,7 +108,7 @@ class WordTokens:
             ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if re.match(f"[{LETTERS}]", c)
         }
         self.stems = Lookup(self.stem_ids, cached)
-        self.words = Lookup(self.word_ids, cached)
+        self.others = Lookup(self.other_ids, cached // 4)
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
@@ -107,31 +120,41 @@ class WordTokens:
     def stem_ids(self, stem: str) -> bytes:
         return self.packed([t.id for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.bytes_of))])
 
-    def word_ids(self, word: str) -> bytes:
-        plain = PLAIN.fullmatch(word)
-        if plain is None:
-            return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        stem = self.stems[plain[1].lower()]
-        return stem + self.stems[plain[2]] if plain[2] else stem
+    def other_ids(self, word: str) -> bytes:
+        return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words in a row, and the number of ids of each."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        stems = pc.utf8_lower(pc.utf8_rtrim(words.filter(plain), characters=".,")).dictionary_encode()
+        made = [self.stems[s] for s in stems.dictionary.to_pylist()]
+        known = len(made)
+        made += [self.others[w] for w in words.filter(pc.invert(plain)).to_pylist()]
+        marks = len(made)
+        made += [b"", self.stems["."], self.stems[","]]
+        sizes = np.fromiter(map(len, made), np.int32, len(made)) // 4
+        pool = np.frombuffer(b"".join(made), "<u4")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        parts = np.full((len(words), 2), marks, np.int32)
+        parts[is_plain, 0] = stems.indices.to_numpy(zero_copy_only=False)
+        parts[~is_plain, 0] = known + np.arange(marks - known)
+        for k, mark in enumerate(".,"):
+            ends = pc.ends_with(words, mark).to_numpy(zero_copy_only=False)
+            parts[is_plain & ends, 1] = marks + 1 + k
+        parts = parts.ravel()
+        return laid_out(pool, sizes, parts), sizes[parts].reshape(-1, 2).sum(axis=1)
 
     def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``end_id``, and the number of ids of each. Null is empty."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), pattern="\n", replacement=" ")
         split = pc.split_pattern(spaced, pattern=" ")
         coded = split.flatten().dictionary_encode()
-        made = [self.words[w] for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        pool = np.append(np.frombuffer(b"".join(made), "<u4"), np.uint32(end_id))
-        begins = np.append(np.cumsum(sizes) - sizes, len(pool) - 1)
-        sizes = np.append(sizes, 1)
-        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(made))
-        length = sizes[order]
-        after = np.cumsum(length)
-        shift = begins[order] - (after - length)
-        ids = pool[np.repeat(shift, length) + np.arange(after[-1] if len(after) else 0)]
-        totals = after[ends + np.arange(len(ends))]
-        return ids, np.diff(totals, prepend=0)
+        pool, sizes = self.different(coded.dictionary)
+        pool, sizes = np.append(pool, np.uint32(end_id)), np.append(sizes, 1)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(sizes) - 1)
+        totals = np.cumsum(sizes[order], dtype=np.int64)[ends + np.arange(len(ends))]
+        return laid_out(pool, sizes, order), np.diff(totals, prepend=0)
 
 
 def allowed_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, rules: PackingRules):
@@ -249,6 +272,7 @@ def _packer(path: str | None, rules: PackingRules):
                 parts.append(ids)
                 if sum(map(len, parts)) >= rules.run_tokens:
                     yield flush()
+            pa.default_memory_pool().release_unused()
         if parts:
             yield flush()
 
