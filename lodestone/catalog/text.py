@@ -225,6 +225,22 @@ def documentation_leakage(spark, sf_dir):
     )
 
 
+# Half of the texts carry the tag already, in either case or after blanks.
+TAGGED = """CASE WHEN length(text) % 4 = 0 THEN '<?php ' || text WHEN length(text) % 4 = 1 THEN '  <?PHP' || chr(10) || text
+ELSE text END"""
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, lang, {TAGGED} AS code FROM documents)
+SELECT doc_id, md5(CASE WHEN lang = 'en' AND NOT starts_with({strip_sql('code')}, '<?') THEN '<?php' || chr(10) || code ELSE code END) AS digest FROM s"""
+)
+def php_tag_prefix(spark, sf_dir):
+    """English texts play PHP code: they get the opening tag unless they have it."""
+    code = derived(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), code=TAGGED)
+    language = F.when(F.col("lang") == "en", "php").otherwise("python")
+    return code.select("doc_id", F.md5(t.with_php_tag(F.col("code"), language).cast("binary")).alias("digest"))
+
+
 QUOTED = "'def f():' || chr(10) || '    \"\"\"' || text || '\"\"\"' || chr(10) || '    return ' || doc_id"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -11,11 +12,12 @@ from lodestone.catalog.registry import query, table
 from lodestone.config import SearchConfig
 from lodestone.functions.vectors import l2_normalize, norm_stats, unit_double, unit_rows
 from lodestone.operators.ann import assign_cells, build_index
-from lodestone.operators.lineage import checkpointed
+from lodestone.operators.lineage import checkpointed, shared_folder
 from lodestone.operators.metrics import METRICS, result_overlap, retrieval_metrics
 from lodestone.operators.nearest import nearest
 from lodestone.operators.rank import parent_rank, top_per_group_merged
 from lodestone.plans.search import retrieve_own_language
+from lodestone.sources.index_store import append_items, load_index, save_index
 
 IDS = {"query_id": "query_id", "item_id": "vec_id"}
 BITS = 128
@@ -310,12 +312,80 @@ def lsh_hamming_topk(spark, sf_dir):
     return search_all(spark, sf_dir, "lsh")
 
 
-@query(f"WITH {UNIT}, {PAIRS} {top('pairs')}")
+@query(
+    """SELECT count(*) AS queries, count(*) * least(count(*), 10) AS result_rows, true AS finds_nine_in_ten
+FROM embeddings"""
+)
 def hnsw_topk(spark, sf_dir):
-    """Layered graph search. The beam covers this table, so the result is exact there."""
+    """Layered graph search with a beam far narrower than the table: rows and recall against the exact top ten."""
     items = vectors(spark, sf_dir)
-    index = build_index(items, "hnsw", item_id="vec_id", hnsw_m=8, hnsw_ef_search=512)
-    return index.search(as_queries(items), 10)
+    index = build_index(items, "hnsw", item_id="vec_id", hnsw_m=16, hnsw_ef_search=64)
+    found = checkpointed(index.search(as_queries(items), 10))
+    truth = nearest(as_queries(items), items, 10, **IDS)
+    rows = found.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("result_rows"))
+    recall = result_overlap(truth, found, item_id="vec_id")
+    return rows.withColumn("_one", F.lit(1)).join(
+        recall.select(F.lit(1).alias("_one"), (F.col("recall") >= 0.9).alias("finds_nine_in_ten")), "_one"
+    ).drop("_one")
+
+
+STORED_KINDS = ("flat", "ivf_flat", "hnsw")
+
+
+@query(
+    f"""WITH {UNIT}, {PAIRS}, best AS ({top('pairs')}), k AS (SELECT unnest(['flat', 'ivf_flat', 'hnsw']) AS index_type)
+SELECT index_type, count(*) AS result_rows, true AS finds_nine_in_ten FROM best, k GROUP BY index_type"""
+)
+def stored_append_topk(spark, sf_dir):
+    """An index of half the labels is stored, the other half appended, and all of it loaded and searched."""
+    items = vectors(spark, sf_dir)
+    first, second = items.filter("label < 5"), items.filter("label >= 5 OR label IS NULL")
+    truth = checkpointed(nearest(as_queries(items), items, 10, **IDS))
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    out = []
+    for kind in STORED_KINDS:
+        means = unit_rows(label_means(items)) if kind == "ivf_flat" else None
+        index = build_index(first, kind, item_id="vec_id", centroids=means, nprobe=10, hnsw_m=16)
+        save_index(index, f"{folder}/{kind}")
+        append_items(spark, f"{folder}/{kind}", second)
+        found = checkpointed(load_index(spark, f"{folder}/{kind}").search(as_queries(items), 10))
+        rows = found.agg(F.count("*").alias("result_rows")).withColumn("index_type", F.lit(kind))
+        recall = result_overlap(truth, found, item_id="vec_id")
+        out.append(
+            rows.join(
+                recall.select(F.lit(kind).alias("index_type"), (F.col("recall") >= 0.9).alias("finds_nine_in_ten")),
+                "index_type",
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+#: Kinds with trained models, their options and the recall of the exact top ten that they must reach.
+TRAINED = {
+    "ivf_flat": ({"nlist": 16, "nprobe": 12}, 0.8),
+    "pq": ({"pq_m": 16, "pq_bits": 6}, 0.5),
+    "ivf_pq": ({"nlist": 8, "nprobe": 8, "pq_m": 16, "pq_bits": 6}, 0.5),
+}
+
+
+@query(
+    f"""WITH {UNIT}, {PAIRS}, best AS ({top('pairs')}), k AS (SELECT unnest({list(TRAINED)}) AS index_type)
+SELECT index_type, count(*) AS result_rows, true AS reaches_floor FROM best, k GROUP BY index_type"""
+)
+def trained_index_recall(spark, sf_dir):
+    """Inverted files and quantisers whose models are trained on all vectors."""
+    items = vectors(spark, sf_dir)
+    truth = checkpointed(nearest(as_queries(items), items, 10, **IDS))
+    out = []
+    for kind, (options, floor) in TRAINED.items():
+        found = checkpointed(build_index(items, kind, item_id="vec_id", **options).search(as_queries(items), 10))
+        recall = result_overlap(truth, found, item_id="vec_id")
+        out.append(
+            found.agg(F.count("*").alias("result_rows")).withColumn("index_type", F.lit(kind)).join(
+                recall.select(F.lit(kind).alias("index_type"), (F.col("recall") >= floor).alias("reaches_floor")), "index_type"
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 FILTER_KINDS = ("flat", "hnsw", "ivf_flat", "ivf_sq")

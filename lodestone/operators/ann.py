@@ -27,12 +27,11 @@ from lodestone.operators.nearest import nearest
 
 # Stored metadata is split by a hash of the item id, for point lookups.
 LOOKUP = "lookup_part"
-LOOKUP_PARTS = 64
 
 
-def lookup_part(item_id: str) -> Column:
-    """Partition that holds the metadata of an item."""
-    return F.pmod(F.xxhash64(item_id), F.lit(LOOKUP_PARTS)).cast("int")
+def lookup_part(item_id: str, parts: int) -> Column:
+    """Partition that holds the metadata of an item, of ``parts`` in all."""
+    return F.pmod(F.xxhash64(item_id), F.lit(parts)).cast("int")
 
 
 INDEX_TYPES = ("flat", "hnsw", "ivf_flat", "ivf_pq", "ivf_sq", "pq", "lsh")
@@ -113,7 +112,7 @@ def assign_cells(items: DataFrame, centroids: np.ndarray, item_vector="embedding
 def probe_cells(
     queries: DataFrame, centroids: np.ndarray, nprobe: int, query_vector="query_embedding"
 ) -> DataFrame:
-    """One row per (query, probed cell): the nprobe best centroids of each query."""
+    """Add ``cell``: the nprobe best centroids of each query, as an array."""
     nprobe = min(nprobe, len(centroids))
 
     def compute(batch):
@@ -121,8 +120,7 @@ def probe_cells(
         best = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
         return from_matrix(best.astype(np.int32), pa.int32())
 
-    probed = with_arrow_column(queries, T.StructField("_cells", T.ArrayType(T.IntegerType())), (query_vector,), compute)
-    return probed.withColumn("cell", F.explode("_cells")).drop("_cells")
+    return with_arrow_column(queries, T.StructField("cell", T.ArrayType(T.IntegerType())), (query_vector,), compute)
 
 
 def _packed(column) -> np.ndarray:
@@ -230,9 +228,13 @@ class VectorIndex:
             queries = probe_cells(queries, self.centroids, self.nprobe, query_vector)
             on = "cell"
             if own is not None:
-                on, place = "_place", F.concat_ws("#", F.col("cell").cast("string"), F.col(own).cast("string"))
-                queries = queries.filter(F.col(own).isNotNull()).withColumn(on, place)
-                items = items.filter(F.col(own).isNotNull()).withColumn(on, place)
+                on = "_place"
+
+                def place(cell):
+                    return F.concat_ws("#", cell.cast("string"), F.col(own).cast("string"))
+
+                queries = queries.filter(F.col(own).isNotNull()).withColumn(on, F.transform("cell", place))
+                items = items.filter(F.col(own).isNotNull()).withColumn(on, place(F.col("cell")))
         if isinstance(self.codec, SignCodec):
             codec = self.codec
             queries = with_arrow_column(
@@ -269,6 +271,26 @@ class VectorIndex:
         return decode
 
 
+def encode_items(index: VectorIndex, items: DataFrame) -> DataFrame:
+    """Items with the columns that the index adds by its model: ``cell``, ``code``."""
+    item_vector, coarse = index.item_vector, index.centroids
+    if coarse is not None:
+        items = assign_cells(items, coarse, item_vector)
+    if index.codec is not None:
+        codec = index.codec
+        used = (item_vector,) if coarse is None else (item_vector, "cell")
+        items = with_arrow_column(
+            items, T.StructField("code", T.BinaryType()), used,
+            lambda b: _pack(codec.encode(_residual(b, item_vector, coarse))),
+        )
+    return items
+
+
+def _residual(batch, item_vector: str, coarse: np.ndarray | None) -> np.ndarray:
+    matrix = unit_rows(to_matrix(batch.column(item_vector)))
+    return matrix if coarse is None else matrix - coarse[np.asarray(batch.column("cell"))]
+
+
 def build_index(
     items: DataFrame,
     index_type: str,
@@ -300,19 +322,13 @@ def build_index(
         index.centroids = (
             centroids if centroids is not None else train_centroids(items, p["nlist"], item_vector=item_vector)
         )
-        index.items = assign_cells(items, index.centroids, item_vector)
-    coarse = index.centroids
-    used = (item_vector,) if coarse is None else (item_vector, "cell")
-
-    def residual(batch) -> np.ndarray:
-        matrix = unit_rows(to_matrix(batch.column(item_vector)))
-        return matrix if coarse is None else matrix - coarse[np.asarray(batch.column("cell"))]
-
     if index_type in ("pq", "ivf_pq"):
         if codebooks is None:
+            coarse = index.centroids
+            used = (item_vector,) if coarse is None else (item_vector, "cell")
             rest = with_arrow_column(
-                index.items, T.StructField(item_vector, T.ArrayType(T.FloatType())), used,
-                lambda b: from_matrix(residual(b)),
+                encode_items(index, items), T.StructField(item_vector, T.ArrayType(T.FloatType())), used,
+                lambda b: from_matrix(_residual(b, item_vector, coarse)),
             )
             codebooks = train_codebooks(rest, p["pq_m"], pq_bits, item_vector=item_vector)
         index.codec = PqCodec(codebooks)
@@ -321,10 +337,5 @@ def build_index(
     elif index_type == "lsh":
         dimension = items.select(F.size(item_vector)).first()[0]
         index.codec = SignCodec(hyperplanes(p["lsh_nbits"], dimension))
-    if index.codec is not None:
-        codec = index.codec
-        index.items = with_arrow_column(
-            index.items, T.StructField("code", T.BinaryType()), used,
-            lambda b: _pack(codec.encode(residual(b))),
-        )
+    index.items = encode_items(index, items)
     return index

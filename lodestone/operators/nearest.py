@@ -132,7 +132,8 @@ def nearest(
     """Columns ``query_id, item_id, score[, on], rank`` with at most k rows per query.
 
     ``on`` restricts each query row to items of the same group; a query may
-    appear once per group it visits. ``per_group`` ranks within (query, group)
+    appear once per group it visits, or once with an array of the groups that it
+    visits, and then the group is no column of the result. ``per_group`` ranks within (query, group)
     rather than over all groups of a query. ``decode`` turns a batch of items
     into vectors when they are stored compressed in the ``decode_from`` columns.
     ``exclude_self`` drops the item whose id equals the query id.
@@ -140,11 +141,14 @@ def nearest(
     if k < 1:
         raise ValueError("k must be at least 1")
     group = [on] if on else []
+    visits = on is not None and isinstance(queries.schema[on].dataType, T.ArrayType)
+    if visits and per_group:
+        raise ValueError("ranking by group needs one row for each visit")
     fields = [
         T.StructField(query_id, queries.schema[query_id].dataType),
         T.StructField(item_id, items.schema[item_id].dataType),
         T.StructField("score", T.DoubleType()),
-    ] + [T.StructField(c, items.schema[c].dataType) for c in group]
+    ] + [T.StructField(c, items.schema[c].dataType) for c in group if not visits]
     schema = T.StructType(fields)
     names, types = [f.name for f in fields], _arrow_types(fields)
     # One spare row per query makes room for the query itself.
@@ -175,14 +179,17 @@ def nearest(
     if bounded is not None:
         if on:
             # The visited groups are known: let the scan skip the others.
-            visited = bounded.column(on).unique().to_pylist()
+            lists = bounded.column(on).combine_chunks()
+            visited = (lists.flatten() if visits else lists).unique().to_pylist()
             if len(visited) <= PRUNED_GROUPS:
                 items = items.filter(F.col(on).isin(visited))
         shared = queries.sparkSession.sparkContext.broadcast(
             (
                 query_matrix(bounded),
                 _ids(bounded.column(query_id)),
-                _ids(bounded.column(on)) if on else None,
+                None if not on else _ids(bounded.column(on)) if not visits else (
+                    lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), _ids(lists.flatten())
+                ),
             )
         )
 
@@ -191,7 +198,13 @@ def nearest(
             if not len(ids):
                 return
             every = np.arange(len(ids))
-            by_group = pd.Series(every).groupby(groups).indices if on else None
+            by_group = None
+            if visits:
+                rows = np.repeat(every, groups[0])
+                by_group = {value: rows[at] for value, at in pd.Series(rows).groupby(groups[1]).indices.items()}
+                groups = None
+            elif on:
+                by_group = pd.Series(every).groupby(groups).indices
             kept: list[pd.DataFrame] = []
             held = 0
             for batch in batches:
@@ -222,7 +235,7 @@ def nearest(
         candidates = items.mapInArrow(scan, schema)
     else:
         # Read several times below; embedding the queries again would cost more.
-        narrow = checkpointed(narrow)
+        narrow = checkpointed(narrow.withColumn(on, F.explode(on)) if visits else narrow)
         candidates = _blocked(
             narrow, items, group, query_id, item_id, schema, names, types,
             query_matrix, item_matrix, width, query_vector,
@@ -287,7 +300,7 @@ def _blocked(
 
     def score(key, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
         ids = _ids(left_rows.column(query_id))
-        groups = _ids(left_rows.column(group[0])) if group else None
+        groups = _ids(left_rows.column(group[0])) if group and len(names) == 4 else None
         found = pd.DataFrame()
         if len(ids) and right_rows.num_rows:
             found = _block_top(

@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import l2_normalize, norm_stats
+from lodestone.functions.vectors import l2_normalize, norm_stats, to_matrix
 from lodestone.operators.ann import HalfCodec, SignCodec, build_index, hyperplanes
 from lodestone.operators.metrics import result_overlap
 from lodestone.operators.nearest import nearest
@@ -77,6 +78,29 @@ def test_codecs():
     assert np.array_equal(hyperplanes(3, 4), hyperplanes(3, 4))
 
 
+@pytest.mark.parametrize("kind", ["hnsw", "ivf_flat", "pq", "flat"])
+def test_own_language_is_complete(items, kind):
+    # Copies across languages, and a language of a few items.
+    spoken = items.withColumn(
+        "language", F.when(F.col("vec_id") % 40 == 0, "few").when(F.col("vec_id") % 2 == 0, "a").otherwise("b")
+    )
+    index = build_index(spoken, kind, item_id="vec_id", nlist=6, nprobe=6, pq_m=8, pq_bits=5, hnsw_m=8, hnsw_ef_search=24)
+    queries = as_queries(spoken).join(spoken.select(F.col("vec_id").alias("query_id"), "language"), "query_id")
+    found = index.search(queries, 10, own="language")
+    assert found.count() == 4_000
+    both = found.join(spoken.select("vec_id", "language"), "vec_id").join(
+        queries.select("query_id", F.col("language").alias("asked")), "query_id"
+    )
+    assert both.filter("language <> asked").isEmpty()
+
+
+def test_uneven_and_missing_vectors_are_refused():
+    for broken in ([[1.0, 2.0], [1.0]], [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            to_matrix(pa.array(broken, pa.list_(pa.float32())))
+    assert to_matrix(pa.array([], pa.list_(pa.float32()))).shape == (0, 0)
+
+
 def test_bad_arguments(items):
     with pytest.raises(ValueError):
         build_index(items, "tree", item_id="vec_id")
