@@ -30,18 +30,16 @@ def _rule_table(signatures: list[Rule]) -> Column:
     )
 
 
-#: Places of one rule in ``line``. Word i begins behind i + 1 spaces; a match of k spaces has k + 1 words.
+#: Places of one rule ``r`` in the line. A mark before each match tells where it begins; word i is
+#: element i + 1 of the line split at spaces, and a match of k spaces has k + 1 words.
 _PLACES = f"""
-aggregate(
-  sequence(0, size(hits) - 1),
-  named_struct('spaces', -1, 'found', cast(array() as array<{DETECTION}>)),
-  (acc, k) -> named_struct(
-    'spaces', acc.spaces + regexp_count(gaps[k], ' ') + regexp_count(hits[k], ' '),
-    'found', concat(acc.found, array(named_struct(
-      'a', acc.spaces + regexp_count(gaps[k], ' '),
-      'b', acc.spaces + regexp_count(gaps[k], ' ') + regexp_count(hits[k], ' ') + 1,
-      'rank', r.rank, 'label', r.label, 'weight', r.weight, 'base', r.base)))),
-  acc -> acc.found)
+transform(
+  arrays_zip(
+    filter(transform(split(regexp_replace(__line, r.expression, concat(chr(1), '$0')), ' '),
+                     (w, i) -> CASE WHEN startswith(w, chr(1)) THEN i - 1 ELSE -1 END), i -> i >= 0),
+    transform(regexp_extract_all(__line, r.expression, 0), h -> regexp_count(h, ' ') + 1)),
+  z -> cast(named_struct('a', z['0'], 'b', z['0'] + z['1'],
+       'rank', r.rank, 'label', r.label, 'weight', r.weight, 'base', r.base) AS {DETECTION}))
 """
 
 
@@ -65,11 +63,7 @@ def with_licenses(docs: DataFrame, text: str = "text", signatures: list[Rule] |
     )
     tried = F.filter(_rule_table(signatures), lambda r: F.col("__line").contains(r["keyword"]))
     found = lines.withColumn("__tried", F.when(F.col("__line").isNotNull(), tried))
-    places = f"""flatten(transform(__tried, r ->
-      element_at(transform(array(named_struct(
-        'gaps', split(__line, r.expression, -1), 'hits', regexp_extract_all(__line, r.expression, 0))),
-        s -> CASE WHEN size(s.hits) = 0 THEN cast(array() as array<{DETECTION}>)
-             ELSE {_PLACES.replace('gaps[', 's.gaps[').replace('hits[', 's.hits[').replace('size(hits)', 'size(s.hits)')} END), 1)))"""
+    places = f"flatten(transform(__tried, r -> {_PLACES}))"
     found = found.withColumn("__found", F.when(F.col("__line").isNotNull(), F.expr(places)))
     left = F.expr(
         """filter(__found, d -> d.base OR NOT exists(__found, e ->
