@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,17 +177,34 @@ def build_graph(
     )
 
 
-def _scored(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def _shared_queries(asked: DataFrame):
+    """Ids and unit vectors of the queries as a broadcast variable, if they are few enough; else None."""
+    size = asked.agg(F.sum(8 * F.size("_qv") + 64)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return None
+    held = asked.toArrow()
+    ids = pd.Index(held.column("_q").to_pandas())
+    return asked.sparkSession.sparkContext.broadcast((ids, unit_rows(to_matrix(held.column("_qv")))))
+
+
+def _scored(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, shared) -> DataFrame:
     """Scores of ``_q, _g, node`` rows, rounded like the exact join."""
-    joined = pairs.join(vectors, "node").join(queries, "_q")
+    joined = pairs.join(vectors, "node")
+    if shared is None:
+        joined = joined.join(queries, "_q")
 
     def compute(batch):
-        left = unit_rows(to_matrix(batch.column("_qv")))
+        if shared is None:
+            left = unit_rows(to_matrix(batch.column("_qv")))
+        else:
+            ids, matrix = shared.value
+            left = matrix[ids.get_indexer(batch.column("_q").to_pandas())]
         right = unit_rows(to_matrix(batch.column("_iv")))
         score = np.rint(np.einsum("ij,ij->i", left, right) * SCORE_SCALE) / SCORE_SCALE
         return pa.array(score + 0.0, pa.float64())
 
-    scored = with_arrow_column(joined, T.StructField("score", T.DoubleType()), ("_qv", "_iv"), compute)
+    inputs = ("_qv" if shared is None else "_q", "_iv")
+    scored = with_arrow_column(joined, T.StructField("score", T.DoubleType()), inputs, compute)
     return scored.select("_q", "_g", "node", "score")
 
 
@@ -215,8 +233,8 @@ def search_graph(
     asked = checkpointed(
         queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), where.alias("_gs"))
     )
-    first = asked.select(F.size("_qv").alias("n")).first()
-    known = _light(asked.drop("_gs"), asked.count(), 8 * (first["n"] if first else 1) + 32)
+    known = asked.drop("_gs")
+    shared = _shared_queries(known)
     top = F.lit(-1)
     for name, level in tops.items():
         top = F.when(F.col("_g") == name, F.lit(level)).otherwise(top)
@@ -240,7 +258,7 @@ def search_graph(
             seen = beam.select("_q", "_g", "node").toDF("_q", "_g", "node")
             fresh = _light(reached.join(seen, ["_q", "_g", "node"], "left_anti"), waiting * 2 * degree, 64)
             grown = beam.withColumn("expanded", F.lit(True)).unionByName(
-                _scored(fresh, vectors, known).withColumn("expanded", F.lit(False))
+                _scored(fresh, vectors, known, shared).withColumn("expanded", F.lit(False))
             )
             # A node outside the best ef can never come back, so it is forgotten.
             beam = checkpointed(
