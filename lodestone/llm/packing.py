@@ -234,16 +234,20 @@ def packed_run(lengths: np.ndarray, ids: np.ndarray, ends_sentence: np.ndarray,
 _TOKENS: dict[str, WordTokens] = {}
 
 
+def word_tokens(path: str | None = None) -> WordTokens:
+    """The tokenizer of a path, or the installed one; made once in each worker."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
+
+
 def _packer(path: str | None, rules: PackingRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = path
-        if place is None:
-            import public_tokenizers
-
-            place = public_tokenizers.path(TOKENIZER)
-        if place not in _TOKENS:
-            _TOKENS[place] = WordTokens(place)
-        tokens = _TOKENS[place]
+        tokens = word_tokens(path)
         first = TaskContext.get().partitionId() << 40
         names: list[pa.Array] = []
         counts: list[np.ndarray] = []

@@ -12,9 +12,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import struct_column
+from lodestone.llm.packing import word_tokens
+
 KEYS = ("doc_id", "version")
 GROUP = ("source", "lang", "version")
 LEDGER = "doc_id bigint, version string, source string, lang string, tokens bigint, sequence bigint"
@@ -33,6 +37,21 @@ def word_and_mark_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("bigint")
 
 
+def bpe_count(text: Column, tokenizer_path: str | None = None) -> Column:
+    """Ids that the public word tokenizer gives a text; null has none.
+
+    ``tokenizer_path`` must exist on every executor; without it the installed
+    tokenizer is used.
+    """
+
+    def count(texts: list[bytes]) -> list:
+        tokens = word_tokens(tokenizer_path)
+        # Each text is closed by one id that doesn't count.
+        return [tokens.encoded(pa.array([t.decode() for t in texts], pa.string()), 0)[1] - 1]
+
+    return struct_column("tokens bigint", count)(text)["tokens"]
+
+
 def counted(docs: DataFrame, versions: dict[str, Column]) -> DataFrame:
     """Upsert events: one row for each document and tokenizer version. All versions are counted in one scan."""
     pairs = F.array(*(F.struct(F.lit(name).alias("version"), count.alias("tokens")) for name, count in versions.items()))

@@ -567,12 +567,13 @@ def test_damaged_archives_are_refused():
 # Token totals
 
 
-def test_counts_of_texts(spark):
+def test_counts_of_texts(spark, tokenizer):
     frame = spark.createDataFrame([(t,) for t in texts()], "text string").select(
-        "text", token_totals.word_count(F.col("text")).alias("words"), token_totals.word_and_mark_count(F.col("text")).alias("marks")
+        "text", token_totals.bpe_count(F.col("text")).alias("ids"), token_totals.word_count(F.col("text")).alias("words"), token_totals.word_and_mark_count(F.col("text")).alias("marks")
     )
     for r in frame.collect():
         text = r.text or ""
+        assert r.ids == len(tokenizer.encode(text, add_special_tokens=False).ids)
         assert r.words == len(WORD.findall(text))
         assert r.marks == len(ALNUM.findall(lower(text))) + sum("!" <= c <= "~" and not c.isalnum() for c in text)
 
