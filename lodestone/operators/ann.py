@@ -99,26 +99,45 @@ def hyperplanes(bits: int, dimension: int) -> np.ndarray:
     return np.array([[normal(b, a) for a in range(dimension)] for b in range(bits)])
 
 
-def assign_cells(items: DataFrame, centroids: np.ndarray, item_vector="embedding") -> DataFrame:
-    """Add ``cell``: the centroid with the largest inner product. Narrow."""
+def _of_others(owners: np.ndarray, languages) -> np.ndarray:
+    """True where a row may not enter a cell: the cell belongs to another language."""
+    return owners[None, :] != np.array(languages, dtype=object)[:, None]
+
+
+def assign_cells(
+    items: DataFrame, centroids: np.ndarray, item_vector="embedding", owners: list[str] | None = None
+) -> DataFrame:
+    """Add ``cell``: the centroid with the largest inner product. Narrow.
+
+    ``owners`` names the language of every centroid; items then only enter cells of
+    their own ``language``.
+    """
+    owner = None if owners is None else np.array(owners, dtype=object)
 
     def compute(batch):
         scores = unit_rows(to_matrix(batch.column(item_vector))) @ centroids.T
+        if owner is not None:
+            scores[_of_others(owner, batch.column("language").to_pylist())] = -np.inf
         return pa.array(np.argmax(scores, axis=1).astype(np.int32))
 
-    return with_arrow_column(items, T.StructField("cell", T.IntegerType()), (item_vector,), compute)
+    inputs = (item_vector,) if owners is None else (item_vector, "language")
+    return with_arrow_column(items, T.StructField("cell", T.IntegerType()), inputs, compute)
 
 
 def probe_cells(
-    queries: DataFrame, centroids: np.ndarray, nprobe: int, query_vector="query_embedding"
+    queries: DataFrame, centroids: np.ndarray, nprobe: int, query_vector="query_embedding",
+    owners: list[str] | None = None,
 ) -> DataFrame:
-    """Add ``cell``: the nprobe best centroids of each query, as an array."""
-    nprobe = min(nprobe, len(centroids))
+    """Add ``cell``: the nprobe best centroids of each query, as an array; of each language if they have owners."""
+    owner = np.array([""] * len(centroids) if owners is None else owners, dtype=object)
+    shares = [np.flatnonzero(owner == name) for name in sorted(set(owner.tolist()), key=str)]
 
     def compute(batch):
         scores = unit_rows(to_matrix(batch.column(query_vector))) @ centroids.T
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
-        return from_matrix(best.astype(np.int32), pa.int32())
+        best = [
+            share[np.argsort(-scores[:, share], axis=1, kind="stable")[:, :nprobe]] for share in shares
+        ]
+        return from_matrix(np.hstack(best).astype(np.int32), pa.int32())
 
     return with_arrow_column(queries, T.StructField("cell", T.ArrayType(T.IntegerType())), (query_vector,), compute)
 
@@ -225,7 +244,7 @@ class VectorIndex:
             return search_graph(self, queries, k, query_id=query_id, query_vector=query_vector, own=own)
         items, on = self.items, own
         if self.centroids is not None:
-            queries = probe_cells(queries, self.centroids, self.nprobe, query_vector)
+            queries = probe_cells(queries, self.centroids, self.nprobe, query_vector, self.options.get("owners"))
             on = "cell"
             if own is not None:
                 on = "_place"
@@ -275,7 +294,7 @@ def encode_items(index: VectorIndex, items: DataFrame) -> DataFrame:
     """Items with the columns that the index adds by its model: ``cell``, ``code``."""
     item_vector, coarse = index.item_vector, index.centroids
     if coarse is not None:
-        items = assign_cells(items, coarse, item_vector)
+        items = assign_cells(items, coarse, item_vector, index.options.get("owners"))
     if index.codec is not None:
         codec = index.codec
         used = (item_vector,) if coarse is None else (item_vector, "cell")
@@ -300,9 +319,14 @@ def build_index(
     centroids: np.ndarray | None = None,
     codebooks: np.ndarray | None = None,
     pq_bits: int = 8,
+    separate: bool = False,
     **params,
 ) -> VectorIndex:
-    """Build any supported index. Given models are used as they are, else trained."""
+    """Build any supported index. Given models are used as they are, else trained.
+
+    With ``separate`` every ``language`` gets centroids of its own; a graph always has one
+    graph for each language.
+    """
     if index_type not in INDEX_TYPES:
         raise ValueError(f"{index_type!r} is not one of the index kinds {INDEX_TYPES}")
     p = {**INDEX_DEFAULTS, **params}
@@ -319,6 +343,15 @@ def build_index(
         )
 
     if index_type.startswith("ivf"):
+        if centroids is None and separate:
+            # One training run for each language, of which there are few.
+            names_of = [r[0] for r in items.select("language").distinct().orderBy("language").collect()]
+            trained = [
+                train_centroids(items.filter(F.col("language").eqNullSafe(name)), p["nlist"], item_vector=item_vector)
+                for name in names_of
+            ]
+            index.options["owners"] = [name for name, rows in zip(names_of, trained) for _ in rows]
+            centroids = np.vstack(trained)
         index.centroids = (
             centroids if centroids is not None else train_centroids(items, p["nlist"], item_vector=item_vector)
         )

@@ -7,6 +7,7 @@ from lodestone.functions.vectors import l2_normalize, norm_stats, to_matrix
 from lodestone.operators.ann import HalfCodec, SignCodec, build_index, hyperplanes
 from lodestone.operators.metrics import result_overlap
 from lodestone.operators.nearest import nearest
+from lodestone.sources.index_store import load_index, save_index
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +95,17 @@ def test_own_language_is_complete(items, kind):
     assert both.filter("language <> asked").isEmpty()
 
 
+def test_separate_centroids(items, spark, tmp_path):
+    spoken = items.withColumn("language", F.when(F.col("vec_id") % 40 == 0, "few").otherwise("most"))
+    index = build_index(spoken, "ivf_flat", item_id="vec_id", nlist=4, nprobe=2, separate=True)
+    owners = dict(enumerate(index.options["owners"]))
+    assert set(owners.values()) == {"few", "most"}
+    assert all(owners[r["cell"]] == r["language"] for r in index.items.select("cell", "language").distinct().collect())
+    save_index(index, str(tmp_path / "x"), separate=True)
+    found = load_index(spark, str(tmp_path / "x")).search(as_queries(spoken), 10)
+    assert found.count() == 4_000 and recall(items, found) >= 0.5
+
+
 def test_uneven_and_missing_vectors_are_refused():
     for broken in ([[1.0, 2.0], [1.0]], [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]], [[1.0], None]):
         with pytest.raises(ValueError):
