@@ -9,6 +9,7 @@ that Spark reaches will do.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -107,7 +108,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.concat(request, F.lit(BETWEEN), F.when(revisits, revisit).otherwise(response), F.lit(BETWEEN), metadata).alias("value")
     )
     most = max(1, int((sizes["rows"] or 0) * ARCHIVE_BYTES // max(sizes["bytes"] or 0, 1)))
-    lines.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", most).text(path)
+    lines.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 RECORD = (
@@ -122,6 +123,11 @@ def _fields(raw: bytes) -> dict[str, str]:
     return {name.strip().lower(): value.strip() for name, value in pairs}
 
 
+def plain(archive: bytes) -> bytes:
+    """The bytes of an archive, whether it is compressed or not."""
+    return gzip.decompress(archive) if archive.startswith(b"\x1f\x8b") else archive
+
+
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record. A record that is cut short or malformed is an error."""
     at, view, mark = 0, memoryview(archive), VERSION.encode()
@@ -176,7 +182,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
             for archive in batch.column(0):
                 held: list[tuple] = []
                 size = 0
-                for headers, block in records(archive.as_py()):
+                for headers, block in records(plain(archive.as_py())):
                     held.append(_row(headers, block)[: len(types)])
                     size += len(block) if payload else 0
                     if len(held) == 4_096 or size > 8 << 20:
