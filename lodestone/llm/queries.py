@@ -20,7 +20,7 @@ from lodestone.llm import (
     token_totals,
     warc,
 )
-from lodestone.llm.storage import shared_folder
+from lodestone.operators.lineage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

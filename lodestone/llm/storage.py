@@ -1,32 +1,15 @@
-"""Tables written to the folder that the driver and all executors share."""
+"""Small sides of joins."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestone.operators.lineage import checkpointed
+from lodestone.operators.lineage import checkpointed, light
 
 #: Tables are broadcast up to this size; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local session without it gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestone-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Materialise a frame of plain columns, measure it, and mark it for broadcast if it fits the limit."""
-    ready = checkpointed(frame)
-    texts = [F.coalesce(F.sum(F.octet_length(name)), F.lit(0)) for name, kind in frame.dtypes if kind in ("string", "binary")]
-    size = ready.agg((F.count(F.lit(1)) * (32 + 16 * len(frame.columns))).alias("rows"), *texts).first()
-    return F.broadcast(ready) if sum(size) <= limit else ready
+    return light(checkpointed(frame), limit)
