@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and literals judged by the names they are assigned to.
 
 A text that mentions a sensitive name is lexed into assignments of source code and
-configuration files (``name = "literal"``, ``name: literal``, ``"name" => 'literal'``).
-Names stand for their last literal, so ``k = "..."; password = k`` gives the literal
+configuration files (``name = "literal"``, ``name: literal``, ``"name" => 'literal'``,
+``name: type = "literal"``, ``x["name"] = "literal"``, chained targets, concatenations).
+Names stand for their last literal, or one that comes later, so ``k = "..."; password = k`` gives the literal
 to ``password``. A literal is scored by the most sensitive name that it reaches and
 by the entropy of its characters.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from itertools import accumulate
@@ -56,14 +57,24 @@ NAME_GATE = (
 PLACEHOLDER = re.compile(
     r"(?i)^(?:change_?me|example.*|your[_-].*|x{3,}|\*+|none|null|true|false|test|dummy|placeholder|redacted|\.{3,})$"
 )
-#: An optionally quoted name, an operator of assignment, then a quoted or a bare literal.
-PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.\-]{0,127})(?P=q)
-        [ \t]*(?::=|=>|=(?![=~])|:(?![:=]))[ \t]*
-        (?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`
-          |(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""",
+#: An optionally quoted or subscripted name, perhaps with a type, and an operator of assignment.
+TARGET = re.compile(
+    r"""(?:(?P<sub>\[)[ \t]*)?(?P<q>["'`]?)(?P<name>[A-Za-z_$][A-Za-z0-9_.\-]{0,127}(?<!-))(?P=q)(?(sub)[ \t]*\])
+        (?:[ \t]*\??:[ \t]*(?P<type>[A-Za-z_][A-Za-z0-9_.]*(?:[\[<][A-Za-z0-9_., \t|\[\]<>]{0,128}[\]>])?(?:[ \t]*[|&][ \t]*[A-Za-z_][A-Za-z0-9_.\[\]]*)*)[ \t]*(?==(?![=~>])))?
+        [ \t]*(?P<op>:=|=>|\+=|\?\?=|\|\|=|=(?![=~>])|:(?![:=]))[ \t]*""",
     re.VERBOSE | re.ASCII,
 )
+#: A quoted literal with an optional prefix, or a bare one, which ends before an operator of assignment.
+VALUE = re.compile(
+    r"""(?:[A-Za-z]{1,2}(?=["']))?(?:"""
+    r"""\"\"\"(?P<triple>(?:[^"\\]|\\.|"(?!""))*)\"\"\"|\'\'\'(?P<three>(?:[^'\\]|\\.|'(?!''))*)\'\'\'|"""
+    r""""(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`)"""
+    r"""|(?P<bare>[^\s"'`,;(){}\[\]<>#]+)""",
+    re.ASCII | re.DOTALL,
+)
+GROUPS = ("triple", "three", "double", "single", "back", "bare")
+#: Another operand behind a literal: the whole text is what the name holds.
+PLUS = re.compile(r"[ \t]*(?:\\?\n[ \t]*)?(?:\+(?!=)|\.\.|\.(?=[ \t\"'$]))[ \t]*(?:\\?\n[ \t]*)?")
 IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?$", re.ASCII)
 _HEX_AS_X = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 
@@ -90,30 +101,105 @@ def literal_score(name_weight: float, literal: str) -> float:
     return name_weight * min(1.0, 0.4 + 0.6 * entropy(literal) / 3.5)
 
 
+@dataclass
+class Operand:
+    """A literal, or a bare token that may be another name."""
+
+    start: int
+    end: int
+    literal: str
+    quoted: bool
+
+
+def assigns(text: str, target: re.Match) -> bool:
+    """Whether the operator behind a bare token makes it a name: something follows, behind a space if it is a colon."""
+    behind = text[target.end() : target.end() + 1]
+    if not behind or behind in "\r\n":
+        return False
+    return target["op"] != ":" or target.end() > target.end("op") or behind in "\"'`"
+
+
+def operands(text: str, at: int) -> tuple[list[Operand], int]:
+    """The operands of a concatenation that starts at ``at``, and where scanning goes on."""
+    found: list[Operand] = []
+    while (value := VALUE.match(text, at)) is not None:
+        group = next(g for g in GROUPS if value[g] is not None)
+        start, end = value.span(group)
+        if group != "bare":
+            found.append(Operand(start, end, value[group], True))
+            at = value.end()
+        else:
+            target = TARGET.match(text, start)
+            if target is not None and assigns(text, target):
+                return found, start  # a name with a value of its own
+            literal = value[group].split("+")[0] if IDENTIFIER.match(value[group].split("+")[0]) else value[group]
+            at = start + len(literal)
+            literal = literal.rstrip(".:!?")
+            found.append(Operand(start, start + len(literal), literal, False))
+        joined_on = PLUS.match(text, at)
+        if joined_on is None:
+            return found, at
+        at = joined_on.end()
+    return found, at
+
+
+def assignments(text: str) -> list[tuple[str, list[Operand]]]:
+    """(name, operands) of every assignment in order; chained targets share the operands."""
+    made: list[tuple[str, list[Operand]]] = []
+    waiting: list[str] = []
+    at = 0
+    while (target := TARGET.search(text, at)) is not None:
+        if target.start() != at:
+            waiting = []
+        waiting.append(target["name"])
+        if target["type"] and sensitivity(target["type"]):
+            waiting.append(target["type"])  # ``config: db_password="..."`` looks like a type
+        found, at = operands(text, target.end())
+        if found:
+            made += [(name, found) for name in waiting]
+            waiting = []
+        elif target["op"] == ":":
+            waiting = []
+        at = max(at, target.end())
+    return made
+
+
 def assigned_literals(text: str, rules: SecretRules) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that a sensitive name holds, directly or through other names."""
-    constants: dict[str, tuple[int, int, str]] = {}
+    """(start, end, score) of literals that a sensitive name holds, directly or through other names.
+
+    A name stands for what it was given last before its use, else for what it is given
+    first behind it. All operands of a concatenation reach the name.
+    """
+    made = assignments(text)
+    places: dict[str, list[int]] = {}
+    for k, (name, _) in enumerate(made):
+        places.setdefault(name, []).append(k)
     found: dict[tuple[int, int], float] = {}
-    at = 0
-    while (pair := PAIR.search(text, at)) is not None:
-        group = next(g for g in ("double", "single", "back", "bare") if pair[g] is not None)
-        start, end, literal = pair.start(group), pair.end(group), pair[group]
-        at = max(end, pair.end())
-        if group == "bare":
-            literal = literal.rstrip(".:!?")
-            end = start + len(literal)
-            reference = IDENTIFIER.match(literal)
-            if reference and reference[1] in constants:
-                start, end, literal = constants[reference[1]]
-        constants[pair["name"]] = (start, end, literal)
-        weight = sensitivity(pair["name"])
-        if not weight or len(literal) < rules.min_literal or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+    for k, (name, held) in enumerate(made):
+        weight = sensitivity(name)
+        if not weight:
             continue
-        if group == "bare" and not any(c.isdigit() for c in literal):
-            continue  # an unquoted word without digits is prose or another name
-        score = literal_score(weight, literal)
-        if score >= rules.min_score:
-            found[start, end] = max(score, found.get((start, end), 0.0))
+        open_, seen = [(k, o) for o in held], {k}
+        while open_:
+            at, operand = open_.pop()
+            reference = None if operand.quoted else IDENTIFIER.match(operand.literal)
+            where = places.get(reference[1]) if reference else None
+            if where:
+                before = bisect_left(where, at)
+                source = where[before - 1] if before else next((w for w in where if w != at), None)
+                if source is not None and source not in seen:
+                    seen.add(source)
+                    open_ += [(source, o) for o in made[source][1]]
+                continue
+            literal = operand.literal
+            if len(literal) < rules.min_literal or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+                continue
+            if not operand.quoted and not any(c.isdigit() for c in literal):
+                continue  # an unquoted word without digits is prose or another name
+            score = literal_score(weight, literal)
+            if score >= rules.min_score:
+                span = operand.start, operand.end
+                found[span] = max(score, found.get(span, 0.0))
     return [(a, b, s) for (a, b), s in sorted(found.items())]
 
 
