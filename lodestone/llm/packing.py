@@ -88,15 +88,17 @@ class WordTokens:
     The tokenizer never joins across spaces, so only the different words of a slice
     matter. Plain words are lower-cased letters, perhaps with a mark behind them, and
     either part goes to the tokenizer's model directly; others go through all of it. What
-    is known is kept; ids are laid out by array operations.
+    is known is kept; ids are laid out by array operations. Added tokens such as
+    ``<|endoftext|>`` are found as the tokenizer finds them; with ``special_as_text``
+    they are read as text like any other.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
+    def __init__(self, path: str, cached: int = CACHED_WORDS, special_as_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -235,13 +237,13 @@ _TOKENS: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str | None = None) -> WordTokens:
-    """The tokenizer of a path, or the installed one; made once in each worker."""
+    """The tokenizer of a path, or the installed one, unmodified; made once in each worker."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
     if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
+        _TOKENS[path] = WordTokens(path, special_as_text=False)
     return _TOKENS[path]
 
 
