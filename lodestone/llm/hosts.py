@@ -55,13 +55,38 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain, taken as the last two labels."""
-    return F.substring_index(host, ".", -2)
+#: Public suffixes of two labels; others count as one label.
+TWO_LABEL_SUFFIXES = tuple(
+    f"{part}.{country}"
+    for country, parts in {
+        "uk": "co org me ltd plc net sch ac gov nhs police mod", "au": "com net org edu gov asn id",
+        "nz": "co net org ac govt geek gen kiwi maori school iwi mil cri health", "za": "co net org ac gov web law nom school",
+        "jp": "co ne or ac ad ed go gr lg", "kr": "co ne or re pe go ac hs ms es sc kg", "in": "co net org gen firm ind ac edu res gov mil nic",
+        "br": "com net org gov edu art blog eco ind inf jus leg mil tv wiki", "cn": "com net org gov edu ac mil", "tw": "com net org edu gov idv game club",
+        "hk": "com net org edu gov idv", "sg": "com net org edu gov per", "my": "com net org edu gov mil name", "id": "co or ac sch go web net mil my",
+        "th": "co in ac or go net mi", "ph": "com net org edu gov ngo mil", "vn": "com net org edu gov info name pro health ac",
+        "tr": "com net org edu gov bel pol mil k12 gen web bbs tel info biz av dr name", "il": "co org net ac gov muni k12 idf",
+        "mx": "com net org edu gob", "ar": "com net org edu gob gov int mil tur", "co": "com net org edu gov mil nom", "pe": "com net org edu gob nom mil",
+        "ve": "com net org edu gob co info web", "ua": "com net org edu gov in", "pl": "com net org edu gov info biz", "pt": "com org edu gov nome",
+        "es": "com org nom edu gob", "gr": "com net org edu gov", "hu": "co org info", "at": "co or ac gv", "eg": "com net org edu gov sci",
+        "sa": "com net org edu gov med pub sch", "ae": "co net org ac gov sch mil", "ke": "co or ne go ac sc me info mobi", "ng": "com net org edu gov name sch mil",
+        "gh": "com org edu gov mil", "pk": "com net org edu gov fam web gob gok gop gos", "bd": "com net org edu gov ac mil", "lk": "com net org edu gov ac sch ngo",
+        "np": "com net org edu gov mil", "cy": "com net org ac gov", "mt": "com net org edu",
+    }.items()
+    for part in parts.split()
+)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix: two labels if they are a known suffix, else the last label."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def domain_of(host: Column) -> Column:
+    """The registered domain: the public suffix and the label before it."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def longest_rule(rules: list[UrlRule], host: Column, path: Column) -> Column:
@@ -89,13 +114,24 @@ def _strength(groups: DataFrame, limits: ReputationRules) -> float:
     return min(max(p * (1 - p) / between - 1, limits.weakest), limits.strongest)
 
 
-def host_reputation(outcomes: DataFrame, limits: ReputationRules | None = None) -> DataFrame:
-    """(host, pages, bad, posterior, bound, blocked) from one row (host, bad 0 or 1) for each labelled page.
+@dataclass(frozen=True)
+class Levels:
+    """Labelled hosts with their counts, the rates that they are shrunk to, and the weight of a host's prior in pages."""
 
-    Rows whose host or outcome is null don't count. Three numbers, the prior
-    strengths, pass through the driver.
-    """
-    limits = limits or ReputationRules()
+    hosts: DataFrame
+    by_domain: DataFrame
+    by_suffix: DataFrame
+    whole: float
+    strength: float
+
+    def judged(self, prior: Column, limits: ReputationRules) -> tuple[Column, Column]:
+        """Posterior and lower bound from the columns ``bad`` and ``pages`` and the prior rate."""
+        posterior = (F.col("bad") + F.lit(self.strength) * prior) / (F.col("pages") + F.lit(self.strength))
+        deviation = F.sqrt(posterior * (1 - posterior) / (F.col("pages") + self.strength + 1))
+        return posterior, posterior - limits.deviations * deviation
+
+
+def _levels(outcomes: DataFrame, limits: ReputationRules) -> Levels:
     hosts = checkpointed(
         outcomes.where("host IS NOT NULL AND bad IS NOT NULL")
         .groupBy("host")
@@ -114,13 +150,35 @@ def host_reputation(outcomes: DataFrame, limits: ReputationRules | None = None)
     by_domain = domains.join(by_suffix, "suffix").select(
         "domain", shrunk(F.col("suffix_rate"), _strength(domains, limits)).alias("domain_rate")
     )
-    strength = _strength(hosts, limits)
-    rate = shrunk(F.col("domain_rate"), strength)
-    deviation = F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("pages") + strength + 1))
+    return Levels(hosts, by_domain, by_suffix, whole, _strength(hosts, limits))
+
+
+def _of_labelled(levels: Levels, limits: ReputationRules) -> DataFrame:
+    posterior, bound = levels.judged(F.col("domain_rate"), limits)
+    return (
+        levels.hosts.join(levels.by_domain, "domain")
+        .withColumn("posterior", posterior)
+        .withColumn("bound", bound)
+        .select(
+            "host", F.col("pages").cast("bigint").alias("pages"), F.col("bad").cast("bigint").alias("bad"),
+            "posterior", "bound", (F.col("bound") > limits.bad_rate).alias("blocked"),
+        )
+    )
+
+
+def _of_others(hosts: DataFrame, levels: Levels, limits: ReputationRules) -> DataFrame:
+    """The rows of ``_of_labelled`` for hosts without labels: no pages, the prior of the nearest level that has labels."""
+    nearest = F.coalesce("domain_rate", "suffix_rate", F.lit(levels.whole))
+    posterior, bound = levels.judged(F.col("rate"), limits)
     return (
-        hosts.join(by_domain, "domain")
-        .withColumn("posterior", rate)
-        .withColumn("bound", F.col("posterior") - limits.deviations * deviation)
+        hosts.join(levels.hosts.select("host"), "host", "left_anti")
+        .withColumn("domain", domain_of(F.col("host")))
+        .withColumn("suffix", suffix_of(F.col("host")))
+        .join(levels.by_domain, "domain", "left")
+        .join(levels.by_suffix, "suffix", "left")
+        .select("host", F.lit(0.0).alias("pages"), F.lit(0.0).alias("bad"), nearest.alias("rate"))
+        .withColumn("posterior", posterior)
+        .withColumn("bound", bound)
         .select(
             "host", F.col("pages").cast("bigint").alias("pages"), F.col("bad").cast("bigint").alias("bad"),
             "posterior", "bound", (F.col("bound") > limits.bad_rate).alias("blocked"),
@@ -128,6 +186,16 @@ def host_reputation(outcomes: DataFrame, limits: ReputationRules | None = None)
     )
 
 
+def host_reputation(outcomes: DataFrame, limits: ReputationRules | None = None) -> DataFrame:
+    """(host, pages, bad, posterior, bound, blocked) from one row (host, bad 0 or 1) for each labelled page.
+
+    Rows whose host or outcome is null don't count. Three numbers, the prior
+    strengths, pass through the driver.
+    """
+    limits = limits or ReputationRules()
+    return _of_labelled(_levels(outcomes, limits), limits)
+
+
 def judge_urls(
     pages: DataFrame,
     outcomes: DataFrame,
@@ -140,7 +208,8 @@ def judge_urls(
 
     ``outcomes`` has (page_id, bad), at most the worst outcome of a page counts.
     A null url, or one without ``://``, has an empty host and path and is judged by
-    the reputation of the empty host. Hosts without labelled pages are allowed.
+    the reputation of the empty host. Hosts without labelled pages
+    are judged by the prior of their domain, else suffix, else of the whole.
     Null ids and repeated rows are kept; other columns are ignored. Without
     outcomes everything that no rule blocks is allowed.
     """
@@ -148,7 +217,9 @@ def judge_urls(
         F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     )
     worst = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    known = host_reputation(located.join(worst, "page_id").select("host", "bad"), limits)
+    limits = limits or ReputationRules()
+    levels = _levels(located.join(worst, "page_id").select("host", "bad"), limits)
+    known = _of_labelled(levels, limits).unionByName(_of_others(located.select("host").distinct(), levels, limits))
     table = broadcast_if_small(
         known.select("host", "blocked", F.col("pages").alias("host_pages"), F.col("bad").alias("host_bad"))
     )
