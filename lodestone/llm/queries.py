@@ -17,6 +17,7 @@ from lodestone.llm import (
     secrets,
     sharding,
     simhash,
+    suffix_dedup,
     token_totals,
     warc,
 )
@@ -238,3 +239,10 @@ UNION ALL
 SELECT source, lang, 'marks-1', count(*), CAST(sum(len(regexp_extract_all(text,
        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]'))) AS BIGINT) FROM final GROUP BY source, lang
 """
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 400 bytes take from every document."""
+    found = suffix_dedup.with_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
