@@ -20,6 +20,7 @@ from lodestone.llm import (
     suffix_dedup,
     token_totals,
     warc,
+    whitening,
 )
 from lodestone.operators.lineage import shared_folder
 
@@ -246,3 +247,9 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated strings of 400 bytes take from every document."""
     found = suffix_dedup.with_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading 32 whitened components of every embedding."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).drop("eigenvalue")
