@@ -13,6 +13,7 @@ from lodestone.llm import (
     hosts,
     licenses,
     packing,
+    prefix_trie,
     repetition,
     secrets,
     sharding,
@@ -253,3 +254,16 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading 32 whitened components of every embedding."""
     return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).drop("eigenvalue")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each with its head replaced by that of the first of its five."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    base = turns.select(F.col("conv_id").alias("base_id"), F.slice("turns", 1, 8).alias("base"))
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    own = F.slice("turns", head + 1, F.greatest(F.size("turns") - head, F.lit(0)))
+    rebuilt = turns.join(base, F.col("base_id") == F.col("conv_id") - F.col("conv_id") % 5, "left").select(
+        "conv_id", F.concat(F.coalesce(F.slice("base", F.lit(1), head), F.slice("turns", 1, 0)), own).alias("turns")
+    )
+    return prefix_trie.prefix_trie(prefix_trie.keyed(rebuilt))
