@@ -250,6 +250,28 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+ORACLES["op11_suffix_dedup"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (
+  SELECT r, p, md5(h[2 * p + 1 : 2 * p + 800]) AS w
+  FROM docs, unnest(range(CAST(len(h) / 2 - 399 AS BIGINT))) AS t(p) WHERE len(h) >= 800),
+repeated AS (SELECT r, p FROM places WHERE w IN (SELECT w FROM places GROUP BY w HAVING count(*) > 1)),
+marked AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 1 ELSE 0 END AS jump FROM repeated),
+numbered AS (SELECT r, p, sum(jump) OVER (PARTITION BY r ORDER BY p) AS span FROM marked),
+spans AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM numbered GROUP BY r, span),
+edges AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS k, a AS e FROM spans
+  UNION ALL SELECT r, max(b), 2147483647 FROM spans GROUP BY r),
+cut AS (
+  SELECT r, string_agg(h[2 * k + 1 : 2 * least(e, len(h) // 2)], '' ORDER BY k) AS kept FROM edges JOIN docs USING (r) GROUP BY r),
+sums AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading 32 whitened components of every embedding."""
@@ -267,3 +289,36 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.concat(F.coalesce(F.slice("base", F.lit(1), head), F.slice("turns", 1, 0)), own).alias("turns")
     )
     return prefix_trie.prefix_trie(prefix_trie.keyed(rebuilt))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(id := md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), strlen(coalesce(text, '')), ':', coalesce(text, ''))),
+         size := strlen(coalesce(text, ''))) ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [CAST(0 AS BIGINT) FOR _ IN range(8)]),
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+  FROM turns),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l
+  FROM heads a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefixes AS (
+  SELECT conv_id, d AS depth, array_to_string(list_transform(l[1:d], lambda x: x.id), '') AS path,
+         CASE WHEN d > 0 THEN l[d].size ELSE 0 END AS size, d = len(l) AS ends
+  FROM rebuilt, unnest(range(CAST(len(l) + 1 AS BIGINT))) AS t(d)),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, depth),
+children AS (SELECT path[1 : 32 * (depth - 1)] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+measured AS (SELECT * FROM nodes LEFT JOIN children USING (path)),
+subtrees AS (
+  SELECT path[1 : 32 * d] AS path, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM measured, unnest(range(depth + 1)) AS t(d) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n.n_children, 0) AS n_children,
+       n_leaves, saved_tokens, n.ends_sha256
+FROM measured n JOIN subtrees USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1 : 32 * (n.depth - 1)]
+"""
