@@ -10,9 +10,9 @@ corpus, in the same text or another one; strings are judged on the input.
 3. The different segments of an anchor form a shard. Its suffix array is made by induced sorting
    (``induced_sorting``), permuted common prefixes of ``length`` or more mark repeated starts.
 4. An anchor with more different segments than ``SHARD_SEGMENTS`` (the edges of a passage in very many
-   texts) is no shard: its segments are cut by the anchor's offset into runs of 32 starts and dealt
-   by all bytes that the strings of a run share, and if such a run is still that frequent, by single
-   strings. So no shard is larger than that bound, and nothing is left out.
+   texts) is no shard: its folded segments are cut by the anchor's offset into runs of 64 starts and dealt
+   by all bytes that the strings of a run share. Unique runs go, equal ones fold, and what is still that
+   frequent is cut again, down to single strings. So no shard is larger than that bound, and nothing is left out.
 
 Nulls count as empty. Texts of any length are read in pieces, shorter ones than ``length`` lose nothing.
 Repeated rows are copies of each other. An empty table gives an empty result. Input columns may have any
@@ -39,13 +39,15 @@ LENGTH = 400
 GRAM = 32
 #: Most different segments of a shard.
 SHARD_SEGMENTS = 32
-#: Starts in a run of a very frequent anchor, then in a run of a very frequent run.
-FINER = (32, 1)
+#: Starts in a run of a very frequent anchor, then in a run of a very frequent run, and so on.
+FINER = (64, 16, 4, 1)
 #: Bytes read at a time, and symbols sorted at a time.
 PIECE_BYTES, SORT_SYMBOLS = 2 << 20, 1 << 20
 POSITION = np.uint64(0xFFFFFF)
 
 SEGMENT = "id long, start int, width int, anchor int, key long, fold long"
+PART = f"up_key long, up_fold long, offset int, n long, {SEGMENT}"
+RUNS = "array<struct<first: int, stop: int>>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -140,24 +142,22 @@ def _cut_finer(length: int, step: int):
     """Segments cut where the anchor's offset passes a multiple of ``step``, keyed by all bytes that their strings share."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("up_key", "up_fold", "offset", "n", "id", "start", "width", "anchor", "key", "fold")
+        kinds = [pa.int32() if name in ("offset", "start", "width", "anchor") else pa.int64() for name in names]
         for batch in batches:
             made = []
-            for i, start, width, anchor, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for up_key, up_fold, n, i, start, width, anchor, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 at = 0
                 while at < width:
-                    offset = anchor - at  # of the anchor from this start
-                    low = offset // step * step
+                    low = (anchor - at) // step * step  # the least offset of this run
                     stop = min(width, anchor - low + 1)
                     core = piece[anchor - low : anchor - low - step + 1 + length]
-                    key = xxhash.xxh3_64_intdigest(core, seed=low + 1)
-                    fold = xxhash.xxh3_64_intdigest(piece[at : stop + length - 1], seed=length)
-                    made.append((i, start + at, stop - at, anchor - at, key - (1 << 63), fold - (1 << 63)))
+                    key = xxhash.xxh3_64_intdigest(core, seed=low + 1) - (1 << 63)
+                    fold = xxhash.xxh3_64_intdigest(piece[at : stop + length - 1], seed=length) - (1 << 63)
+                    made.append((up_key, up_fold, at, n, i, start + at, stop - at, anchor - at, key, fold))
                     at = stop
-            columns = list(zip(*made)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "start", "width", "anchor", "key", "fold"]
-            )
+            columns = list(zip(*made)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
 
     return cut
 
@@ -241,54 +241,69 @@ def _numbered(docs: DataFrame, text: str, folder: str) -> DataFrame:
     return spark.table(name)
 
 
-def _settled(table: DataFrame, found: DataFrame, length: int, folder: str, tier: int) -> tuple[DataFrame, DataFrame]:
-    """(spans of repeated strings, segments of anchors that are too frequent for a shard)."""
-    again = found.groupBy("key").count().where("count > 1").select("key")
-    found = _stored(found.join(again, "key", "left_semi"), folder, f"candidates-{tier}")
-    folded = found.groupBy("key", "fold").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "start", "width", "anchor")).alias("at")
-    )
-    sizes = folded.groupBy("key").agg(F.count("*").alias("different"))
-    folded = _stored(folded.join(sizes, "key").select("key", "fold", "n", "different", "at.*"), folder, f"folded-{tier}")
+def _counted(folded: DataFrame) -> DataFrame:
+    """Folded segments of anchors that occur more than once, with the number of different ones at the anchor."""
+    sizes = folded.groupBy("key").agg(F.count("*").alias("different"), F.sum("n").alias("all")).where("all > 1")
+    return folded.join(sizes.drop("all"), "key").select("key", "fold", "n", "different", "at.*")
+
+
+def _pieces_of(table: DataFrame, folded: DataFrame, length: int) -> DataFrame:
+    """Folded segments with their bytes, taken from the text where they were first found."""
+    piece = F.expr(f"substring(bytes, start + 1, width + {length - 1})").alias("piece")
+    return table.join(folded.hint("shuffle_hash"), "id").select(*(F.col(name) for name in folded.columns), piece)
+
+
+def _settled(table: DataFrame, folded: DataFrame, length: int) -> DataFrame:
+    """Repeated starts of folded segments, as runs, but for what a frequent anchor's different segments share."""
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("width").alias("stop")))
-    alone = folded.where("different = 1").select("key", "fold", whole.alias("runs"))
+    alone = folded.where(f"n > 1 and (different = 1 or different > {SHARD_SEGMENTS})").select("key", "fold", whole.alias("runs"))
     sharded = folded.where(f"different between 2 and {SHARD_SEGMENTS}")
-    shards = (
-        table.join(sharded.hint("shuffle_hash"), "id")
-        .select("key", "fold", "n", F.expr(f"substring(bytes, start + 1, width + {length - 1})").alias("piece"))
-        .groupBy("key").agg(F.collect_list(F.struct("fold", "n", "piece")).alias("held"))
-    )
-    sorted_ = shards.mapInArrow(
-        _settle_shards(length), "key long, fold long, runs array<struct<first: int, stop: int>>"
-    ).where("size(runs) > 0")
-    spans = found.join(alone.unionByName(sorted_), ["key", "fold"]).select("id", "start", F.explode("runs").alias("run"))
-    spans = spans.select(
+    shards = _pieces_of(table, sharded, length).groupBy("key").agg(F.collect_list(F.struct("fold", "n", "piece")).alias("held"))
+    sorted_ = shards.mapInArrow(_settle_shards(length), f"key long, fold long, runs {RUNS}").where("size(runs) > 0")
+    return alone.unionByName(sorted_)
+
+
+def _repeated_spans(table: DataFrame, found: DataFrame, length: int, folder: str) -> DataFrame:
+    """Spans of repeated strings (id, begin, end), some of them overlapping, from all segments."""
+    at = F.struct("id", "start", "width", "anchor")
+    again = found.groupBy("key").count().where("count > 1").select("key")
+    found = _stored(found.join(again, "key", "left_semi"), folder, "candidates")
+    folded = _stored(_counted(found.groupBy("key", "fold").agg(F.count("*").alias("n"), F.min(at).alias("at"))), folder, "folded")
+    tiers = [(None, _stored(_settled(table, folded, length), folder, "runs"))]
+    for step in FINER:
+        frequent = folded.where(f"different > {SHARD_SEGMENTS}")
+        if frequent.isEmpty():
+            break
+        cut = _pieces_of(table, frequent, length).select("key", "fold", "n", "id", "start", "width", "anchor", "piece")
+        parts = _stored(cut.mapInArrow(_cut_finer(length, step), PART), folder, f"parts-{step}")
+        folded = _counted(parts.groupBy("key", "fold").agg(F.sum("n").alias("n"), F.min(at).alias("at")))
+        folded = _stored(folded, folder, f"folded-{step}")
+        tiers.append((parts, _stored(_settled(table, folded, length), folder, f"runs-{step}")))
+    # Runs of parts are runs of the segments that these were cut from.
+    while len(tiers) > 1:
+        parts, runs_ = tiers.pop()
+        moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("offset")).alias("first"), (r["stop"] + F.col("offset")).alias("stop")))
+        above = parts.join(runs_, ["key", "fold"]).select(
+            F.col("up_key").alias("key"), F.col("up_fold").alias("fold"), moved.alias("runs")
+        )
+        tiers[-1] = (tiers[-1][0], tiers[-1][1].unionByName(above))
+    settled = tiers[0][1].groupBy("key", "fold").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    spans = found.join(settled, ["key", "fold"]).select("id", "start", F.explode("runs").alias("run"))
+    return spans.select(
         "id", (F.col("start") + F.col("run.first")).alias("begin"),
         (F.col("start") + F.col("run.stop") + length - 1).alias("end"),
     )
-    frequent = folded.where(f"different > {SHARD_SEGMENTS}").select("key").distinct()
-    return _stored(spans, folder, f"spans-{tier}"), found.join(frequent, "key", "left_semi")
 
 
 def _repeats(docs: DataFrame, text: str, length: int) -> DataFrame:
     """id, rest, bytes and the spans of repeated strings (begin, end), unmerged; null where there are none."""
-    if length != LENGTH and not GRAM <= length < LENGTH:
+    if not GRAM <= length <= LENGTH:
         raise ValueError(f"length must be between {GRAM} and {LENGTH}")
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/suffix-dedup-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(docs.sparkSession)}/suffix-dedup-{uuid.uuid4().hex}"
     table = _numbered(docs, text, folder)
     long_enough = table.where(F.octet_length("bytes") >= length)
     found = _stored(long_enough.select("id", "bytes").mapInArrow(_find(length), SEGMENT), folder, "segments")
-    spans, frequent = _settled(table, found, length, folder, 0)
-    for tier, step in enumerate(FINER, 1):
-        frequent = _stored(frequent, folder, f"frequent-{tier}")
-        if frequent.isEmpty():
-            break
-        piece = F.expr(f"substring(bytes, start + 1, width + {length - 1})")
-        cut = table.join(frequent.hint("shuffle_hash"), "id").select("id", "start", "width", "anchor", piece.alias("piece"))
-        found = _stored(cut.mapInArrow(_cut_finer(length, step), SEGMENT), folder, f"segments-{tier}")
-        more, frequent = _settled(table, found, length, folder, tier)
-        spans = spans.unionByName(more)
+    spans = _repeated_spans(table, found, length, folder)
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return table.join(spans.hint("shuffle_hash"), "id", "left")
 
