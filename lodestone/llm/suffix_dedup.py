@@ -100,15 +100,15 @@ def segments(line: bytes, starts: np.ndarray, length: int) -> dict[str, np.ndarr
     }
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, int, int]], bytes]]:
-    """Runs of text of about PIECE_BYTES: the parts as (id, first byte of the part, bytes), and their bytes."""
+def _pieces(batch: pa.RecordBatch, length: int, limit: int) -> Iterator[tuple[list[tuple[int, int, int]], bytes]]:
+    """Runs of text of about ``limit`` bytes: the parts as (id, first byte of the part, bytes), and their bytes."""
     parts, held, size = [], [], 0
     for i, value in zip(batch.column(0).to_pylist(), batch.column(1)):
         view = memoryview(value.as_buffer())
-        for at in range(0, max(len(view), 1), PIECE_BYTES):
+        for at in range(0, max(len(view), 1), limit):
             # A part lends its successor's first bytes, so that each start is seen in exactly one.
-            part = view[at : at + PIECE_BYTES + LENGTH - 1]
-            if size and size + len(part) > PIECE_BYTES:
+            part = view[at : at + limit + length - 1]
+            if size and size + len(part) > limit:
                 yield parts, b"".join(held)
                 parts, held, size = [], [], 0
             parts.append((i, at, len(part)))
@@ -118,15 +118,15 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, int, int]],
         yield parts, b"".join(held)
 
 
-def _find(length: int):
+def _find(length: int, limit: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for parts, line in _pieces(batch):
+            for parts, line in _pieces(batch, length, limit):
                 ids, offsets, sizes = (np.array(x, np.int64) for x in zip(*parts))
                 begins = np.cumsum(sizes) - sizes
                 starts = np.zeros(len(line), bool)
                 for begin, size in zip(begins.tolist(), sizes.tolist()):
-                    starts[begin : max(begin, begin + min(size - length + 1, PIECE_BYTES))] = True
+                    starts[begin : max(begin, begin + min(size - length + 1, limit))] = True
                 found = segments(line, starts, length)
                 of = np.searchsorted(begins, found["first"], side="right") - 1
                 yield pa.record_batch({
@@ -302,7 +302,7 @@ def _repeats(docs: DataFrame, text: str, length: int) -> DataFrame:
     folder = f"{shared_folder(docs.sparkSession)}/suffix-dedup-{uuid.uuid4().hex}"
     table = _numbered(docs, text, folder)
     long_enough = table.where(F.octet_length("bytes") >= length)
-    found = _stored(long_enough.select("id", "bytes").mapInArrow(_find(length), SEGMENT), folder, "segments")
+    found = _stored(long_enough.select("id", "bytes").mapInArrow(_find(length, PIECE_BYTES), SEGMENT), folder, "segments")
     spans = _repeated_spans(table, found, length, folder)
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return table.join(spans.hint("shuffle_hash"), "id", "left")
