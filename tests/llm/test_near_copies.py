@@ -76,3 +76,25 @@ def test_blocks_link_the_same_components(spark):
 def test_exact_sets_decide():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 9])]
     assert list(near_copies.similar(sets, None, 0.8, simhash.Forest(), [10, 11, 12], [])) == [(10, 11)]
+
+
+def test_lists_of_a_template_are_not_closed_before_they_are_compared(spark):
+    """Pages of one template at similarity 0.5 share bands by chance; only their lists are compared."""
+    rng = random.Random(8)
+    head = [f"t{k}" for k in range(80)]
+    rows = [(k, " ".join(head + [f"p{k}x{j}" for j in range(36)])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(20)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_copies.with_component(frame, "doc_id", "text", 5, 0.8).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.component, []).append(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted([[k, 1000 + k] for k in range(20)] + [[k] for k in range(20, 300)])
+
+
+def test_known_components_are_not_compared_again():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [50])]
+    forest = simhash.Forest()
+    forest.join(10, 11)
+    assert list(near_copies.similar(sets, None, 0.8, forest, [10, 11, 12, 13], [])) == [(10, 12)]
