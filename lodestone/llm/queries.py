@@ -132,7 +132,8 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), outcomes, URL_RULES)
 
 
-ORACLES["op6_host_reputation"] = r"""
+_TWO = ", ".join(f"'{suffix}'" for suffix in hosts.TWO_LABEL_SUFFIXES)
+ORACLES["op6_host_reputation"] = rf"""
 WITH urls AS (
   SELECT page_id,
     CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE translate(
@@ -141,10 +142,15 @@ WITH urls AS (
       regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*([^?#]*)', 1) END AS path
   FROM pages),
 worst AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-hosts AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS dom, string_split(host, '.')[-1] AS suf,
-         CAST(sum(bad) AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n
-  FROM urls JOIN worst USING (page_id) GROUP BY host),
+parts AS (
+  SELECT host, string_split(host, '.')[-1] AS one, array_to_string(string_split(host, '.')[-2:], '.') AS two,
+         array_to_string(string_split(host, '.')[-3:], '.') AS three
+  FROM (SELECT DISTINCT host FROM urls)),
+named AS (
+  SELECT host, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS dom, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suf
+  FROM parts),
+counted AS (SELECT host, CAST(sum(bad) AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM urls JOIN worst USING (page_id) GROUP BY host),
+hosts AS (SELECT * FROM counted JOIN named USING (host)),
 doms AS (SELECT dom, suf, sum(x) AS x, sum(n) AS n FROM hosts GROUP BY dom, suf),
 sufs AS (SELECT suf, sum(x) AS x, sum(n) AS n FROM hosts GROUP BY suf),
 moments AS (
@@ -159,7 +165,11 @@ dom_rate AS (SELECT dom, (x + w * r) / (n + w) AS r FROM doms JOIN suf_rate USIN
 judged AS (
   SELECT host, CAST(n AS BIGINT) AS host_pages, CAST(x AS BIGINT) AS host_bad,
          q - 1.645 * sqrt(q * (1 - q) / (n + w + 1)) > 0.5 AS blocked
-  FROM (SELECT host, x, n, w, (x + w * r) / (n + w) AS q FROM hosts JOIN dom_rate USING (dom), strength WHERE level = 'host')),
+  FROM (
+    SELECT host, coalesce(x, 0) AS x, coalesce(n, 0) AS n, w,
+           (coalesce(x, 0) + w * coalesce(d.r, s.r, p)) / (coalesce(n, 0) + w) AS q
+    FROM named LEFT JOIN counted USING (host) LEFT JOIN dom_rate d USING (dom) LEFT JOIN suf_rate s ON s.suf = named.suf, strength
+    WHERE level = 'host')),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
