@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _cuts(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
@@ -65,3 +67,31 @@ def struct_column(schema: str, compute: Callable[[list[bytes]], list]) -> Callab
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, kind).asNondeterministic()
+
+
+def joined_words(text: bytes) -> bytes:
+    """Lower-cased words between single blanks. Long texts are split piece by piece, so no list holds all words."""
+    if len(text) <= SLICE_BYTES:
+        return b" ".join(text.lower().split())
+    parts, at = [], 0
+    while at < len(text):
+        blank = BLANK.search(text, at + SLICE_BYTES)
+        end = blank.start() if blank else len(text)
+        if part := b" ".join(text[at:end].lower().split()):
+            parts.append(part)
+        at = end
+    return b" ".join(parts)
+
+
+def shingle_runs(joined: bytes, shingle: int, run: int = 1 << 16) -> Iterator[list[bytes]]:
+    """Shingles of joined words in runs of bounded length; fewer words are one shingle, none have none."""
+    if not joined:
+        return
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+    if len(ends) <= shingle:
+        yield [joined]
+        return
+    for at in range(0, len(ends) - shingle + 1, run):
+        last = ends[at + shingle - 1 : at + shingle - 1 + run].tolist()
+        first = [int(ends[at - 1]) + 1 if at else 0, *(ends[at : at + len(last) - 1] + 1).tolist()]
+        yield [joined[a:b] for a, b in zip(first, last)]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.storage import BROADCAST_BYTES, broadcast_if_small
-from lodestone.llm.text import ascii_words
+from lodestone.llm.text import as_row, ascii_words
 from lodestone.operators.lineage import checkpointed
 
 WINDOW = 10
@@ -146,7 +146,11 @@ def contamination(
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit, with their own columns."""
+    """The rows of ``docs`` without a hit, with their own columns.
+
+    Null and empty texts have no hit. Repeated rows stay or go together, rows without id are judged by their
+    text. Texts may have any length; other columns any names. An empty table gives no rows.
+    """
     dirty = broadcast_if_small(
         contamination(docs, benchmark, doc_id, text, **options)
         .where("contaminated")
@@ -158,25 +162,33 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "do
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the words of all hits, and what stands between them, cut out of the text."""
+    """``docs`` with the words of all hits, and what stands between them, cut out of the text.
+
+    Null and empty texts, and texts without a hit, stay as they are; repeated rows are cut alike, rows without
+    id too. Other columns may have any names. An empty table gives no rows.
+    """
     dirty = (
         contamination(docs, benchmark, doc_id, text, **options)
         .where("contaminated")
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("__spans"))
+        .select(F.col("doc_id").alias("dirty_id"), F.col("text_hash").alias("dirty_hash"), "spans")
         .distinct()
     )
-    same = docs[doc_id].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs[text]) == dirty["_hash"])
+    rows = docs.select(
+        as_row(docs.columns).alias("row"), F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_hash"), F.col(text).alias("own_text")
+    )
+    same = F.col("own_id").eqNullSafe(F.col("dirty_id")) & (F.col("own_hash") == F.col("dirty_hash"))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    joined = docs.join(dirty, same, "left")
-    raw = F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0))
-    gaps = F.split(F.col(text), word)
-    cut = joined.withColumn("__raw", F.when(F.col("__spans").isNotNull(), raw)).withColumn(
-        "__gaps", F.when(F.col("__spans").isNotNull(), gaps)
+    hit = F.col("spans").isNotNull()
+    cut = rows.join(dirty, same, "left").select(
+        "row", "own_text", "spans",
+        F.when(hit, F.regexp_extract_all(F.col("own_text"), F.lit(word), F.lit(0))).alias("raw"),
+        F.when(hit, F.split(F.col("own_text"), word)).alias("gaps"),
     )
     # Gap i stands before word i. A span from a to b takes words a..b-1 and the gaps between them.
     kept = F.expr(
-        """array_join(transform(__gaps, (gap, i) -> concat(
-             CASE WHEN exists(__spans, s -> i > s.a AND i < s.b) THEN '' ELSE gap END,
-             CASE WHEN i >= size(__raw) OR exists(__spans, s -> i >= s.a AND i < s.b) THEN '' ELSE __raw[i] END)), '')"""
+        """array_join(transform(gaps, (gap, i) -> concat(
+             CASE WHEN exists(spans, s -> i > s.a AND i < s.b) THEN '' ELSE gap END,
+             CASE WHEN i >= size(raw) OR exists(spans, s -> i >= s.a AND i < s.b) THEN '' ELSE raw[i] END)), '')"""
     )
-    return cut.withColumn(text, F.when(F.col("__spans").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)
+    new = F.when(hit, kept).otherwise(F.col("own_text")).alias(text)
+    return cut.select(*(new if c == text else F.col("row")[c].alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.license_rules import GATES, Rule, rules
-from lodestone.llm.text import ascii_words
+from lodestone.llm.text import as_row, ascii_words, from_row
 
 DETECTION = "struct<a: int, b: int, rank: int, label: string, weight: double, base: boolean>"
 
@@ -53,8 +53,9 @@ def with_licenses(docs: DataFrame, text: str = "text", signatures: list[Rule] |
     """
     signatures = rules() if signatures is None else signatures
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    words = docs.select(*kept, ascii_words(F.col(text)).alias("__words"))
+    own = [c for c in docs.columns if c not in names]
+    kept = ["__row"]
+    words = docs.select(as_row(own).alias("__row"), ascii_words(F.col(text)).alias("__words"))
     gate = F.arrays_overlap("__words", F.array(*map(F.lit, GATES)))
     lines = words.select(
         *kept,
@@ -73,7 +74,7 @@ def with_licenses(docs: DataFrame, text: str = "text", signatures: list[Rule] |
     none = F.array().cast(f"array<{DETECTION}>")
     judged = judged.withColumn("detections", F.coalesce("detections", none)).withColumn("__base", F.coalesce("__base", none))
     return judged.select(
-        *kept,
+        *from_row("__row", own),
         "n_words",
         F.size("__base").cast("bigint").alias("n_base"),
         F.array_min("__base.a").cast("bigint").alias("first_word"),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import struct_column
+from lodestone.llm.text import free_name
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -43,28 +44,22 @@ class Repeats:
     maximal: np.ndarray  # maximal repeated sequences
 
 
-def suffix_ranks(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array, and for each level the ranks of prefixes of 2**level words.
-
-    A rank is the first slot of the group of equal prefixes.
-    """
+def suffix_array(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by doubling the sorted width; only the ranks of the last width are held."""
     n = len(words)
     key = doc.astype(np.int64) * (int(words.max()) + 1 if n else 1) + words
     order = np.argsort(key, kind="stable")
-    slots = np.arange(n)
     ranks = np.empty(n, np.int32)
-    levels: list[np.ndarray] = []
-    sa, width, part, sorted_key = order.copy(), 1, slots, key[order]
+    sa, width, part, sorted_key = order, 1, np.arange(n), key[order]
     while True:
+        # A rank is the first slot of the group of equal prefixes.
         first = np.ones(len(part), bool)
         first[1:] = sorted_key[1:] != sorted_key[:-1]
-        starts = np.maximum.accumulate(np.where(first, part, 0))
-        ranks[sa[part]] = starts
-        levels.append(np.append(ranks, np.int32(-1)))
+        ranks[sa[part]] = np.maximum.accumulate(np.where(first, part, 0))
         alone = first & np.append(first[1:], True)
         part = part[~alone]
         if not len(part):
-            return sa, levels
+            return sa
         at = sa[part]
         after = at + width
         inside = after < n
@@ -77,19 +72,56 @@ def suffix_ranks(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[n
         width *= 2
 
 
-def common_prefixes(sa: np.ndarray, levels: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots whose suffix shares at least ``least`` words with the slot before, and how many."""
-    entry = min(max(least, 1).bit_length() - 1, len(levels) - 1)
-    ranks = levels[entry][:-1]
-    sorted_ranks = ranks[sa]
-    slots = np.flatnonzero(sorted_ranks[1:] == sorted_ranks[:-1]) + 1
-    left, right = sa[slots - 1], sa[slots]
-    shared = np.zeros(len(slots), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        same = levels[level][left + shared] == levels[level][right + shared]
-        shared += np.where(same, 1 << level, 0)
-    enough = shared >= least
-    return slots[enough], shared[enough]
+def _shared_words(words: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that the suffixes at a and b share inside their document: together first, the longest ones by slices."""
+    n, shared, open_ = len(words), np.zeros(len(a), np.int64), np.arange(len(a))
+    for offset in range(n):
+        if len(open_) <= 64 and offset >= 64:
+            break
+        x, y = a[open_] + offset, b[open_] + offset
+        inside = np.maximum(x, y) < n
+        x, y = np.where(inside, x, 0), np.where(inside, y, 0)
+        open_ = open_[inside & (words[x] == words[y]) & (doc[x] == doc[y]) & (doc[x] == doc[a[open_]])]
+        shared[open_] += 1
+        if not len(open_):
+            return shared
+    for k in open_.tolist():
+        x, y, size = int(a[k] + shared[k]), int(b[k] + shared[k]), 1_024
+        stop = int(np.searchsorted(doc, doc[a[k]], side="right"))
+        while True:
+            length = min(size, stop - max(x, y))
+            differ = np.flatnonzero(words[x : x + length] != words[y : y + length])
+            if len(differ) or length < size:
+                shared[k] += int(differ[0]) if len(differ) else max(length, 0)
+                break
+            shared[k] += length
+            x, y, size = x + length, y + length, 2 * size
+    return shared
+
+
+def common_prefixes(sa: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots whose suffix shares at least ``least`` words with the slot before, and how many.
+
+    In the order of the text a prefix is at most one word shorter than the one before it, and exactly
+    one shorter where the preceding words agree, so only the others are compared.
+    """
+    n = len(sa)
+    before = np.full(n, -1, np.int64)
+    same = doc[sa[1:]] == doc[sa[:-1]]
+    before[sa[1:][same]] = sa[:-1][same]
+    at = np.arange(n)
+    held = before >= 0
+    other = np.where(held, before, 0)
+    opens = (at == 0) | (doc != doc[at - 1])
+    fresh = held & (opens | opens[other] | (words[at - 1] != words[other - 1]))
+    start = np.flatnonzero(fresh)
+    prefix = np.zeros(n, np.int64)
+    prefix[start] = _shared_words(words, doc, start, other[start])
+    last = np.maximum.accumulate(np.where(fresh, at, -1))
+    prefix = np.where(held & ~fresh, prefix[last] - (at - last), prefix)
+    shared = prefix[sa]
+    slots = np.flatnonzero(shared >= least)
+    return slots, shared[slots]
 
 
 def maximal_intervals(slots: np.ndarray, shared: np.ndarray, differs: np.ndarray) -> list[tuple[int, int]]:
@@ -130,8 +162,8 @@ def repeats(words: np.ndarray, lengths: np.ndarray, least: int) -> Repeats:
     n = len(words)
     if n == 0:
         return out
-    sa, levels = suffix_ranks(words, doc)
-    slots, shared = common_prefixes(sa, levels, least)
+    sa = suffix_array(words, doc)
+    slots, shared = common_prefixes(sa, words, doc, least)
     if not len(slots):
         return out
     reach = np.zeros(n, np.int64)
@@ -193,9 +225,8 @@ def with_repetition(docs: DataFrame, text: str = "text", rules: RepetitionRules
     measure = struct_column(MEASURES, lambda texts: measured(texts, rules))
     names = [part.split()[0] for part in MEASURES.split(", ")]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*kept, measure(F.col(text)).alias("__measured")).select(
-        *kept, *(F.col("__measured")[n].alias(n) for n in names)
-    )
+    made = free_name(docs, "measured")
+    return docs.select(*kept, measure(F.col(text)).alias(made)).select(*kept, *(F.col(made)[n].alias(n) for n in names))
 
 
 def reject_repetition(docs: DataFrame, text: str = "text", rules: RepetitionRules | None = None) -> DataFrame:
@@ -203,8 +234,5 @@ def reject_repetition(docs: DataFrame, text: str = "text", rules: RepetitionRule
     rules = rules or RepetitionRules()
     measure = struct_column(MEASURES, lambda texts: measured(texts, rules))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return (
-        docs.select(*columns, measure(F.col(text)).alias("__measured"))
-        .where(F.col("__measured")["kept"])
-        .select(*columns)
-    )
+    made = free_name(docs, "measured")
+    return docs.select(*columns, measure(F.col(text)).alias(made)).where(F.col(made)["kept"]).select(*columns)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import struct_column
+from lodestone.llm.text import free_name
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(
@@ -264,9 +265,8 @@ def with_secrets(docs: DataFrame, text: str = "text", rules: SecretRules | None
     scan = struct_column(FOUND, lambda texts: scanned(texts, rules))
     names = [part.split()[0] for part in FOUND.split(", ")]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*kept, scan(F.col(text)).alias("__found")).select(
-        *kept, *(F.col("__found")[n].alias(n) for n in names)
-    )
+    made = free_name(docs, "found")
+    return docs.select(*kept, scan(F.col(text)).alias(made)).select(*kept, *(F.col(made)[n].alias(n) for n in names))
 
 
 def masked(texts: list[bytes], rules: SecretRules, mask: str) -> list:
@@ -295,8 +295,9 @@ def mask_secrets(
     rules = rules or SecretRules()
     change = struct_column("changed string", lambda texts: masked(texts, rules, mask))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    changed = F.col("__masked.changed")
-    new = docs.select(*columns, change(F.col(text)).alias("__masked"))
+    made = free_name(docs, "masked")
+    changed = F.col(made)["changed"]
+    new = docs.select(*columns, change(F.col(text)).alias(made))
     out = []
     for name in docs.columns:
         if name == text:

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import struct_column
+from lodestone.llm.batches import joined_words, shingle_runs, struct_column
 from lodestone.llm.components import components
+from lodestone.llm.text import free_name
 from lodestone.llm.storage import broadcast_if_small
 from lodestone.operators.lineage import checkpointed
 
@@ -44,42 +45,44 @@ def covering_triples() -> list[tuple[int, int, int]]:
 
 
 TRIPLES = covering_triples()
+#: Hashes whose bits are counted at once.
+RUN = 1 << 17
 
 
 def fingerprints(texts: list[bytes], shingle: int = 4) -> list[np.ndarray]:
-    """One signed 64-bit fingerprint for each text."""
+    """One signed 64-bit fingerprint for each text; bits are counted in runs, so memory doesn't follow the longest text's shingles."""
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
+    ones = np.zeros((len(texts), 8 * BYTES), np.int64)
     counts = np.zeros(len(texts), np.int64)
+    owners: list[int] = []
+    sizes: list[int] = []
+    hashes: list[int] = []
+
+    def count() -> None:
+        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, BYTES), axis=1)
+        begin = np.cumsum(sizes) - sizes
+        np.add.at(ones, owners, np.add.reduceat(bits, begin, axis=0, dtype=np.int64))
+        np.add.at(counts, owners, sizes)
+        owners.clear(), sizes.clear(), hashes.clear()
+
     for i, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
-            continue
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            hashes.append(digest(joined, SEED))
-            counts[i] = 1
-            continue
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.append(0, ends[: -shingle] + 1)
-        hashes += [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-        counts[i] = len(starts)
-    out = np.zeros(len(texts), np.uint64)
+        for run in shingle_runs(joined_words(text), shingle):
+            owners.append(i)
+            sizes.append(len(run))
+            hashes += [digest(x, SEED) for x in run]
+            if len(hashes) >= RUN:
+                count()
     if hashes:
-        full = np.flatnonzero(counts)
-        begin = np.append(0, np.cumsum(counts[full])[:-1])
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, BYTES), axis=1)
-        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        majority = 2 * ones > counts[full][:, None]
-        out[full] = np.packbits(majority, axis=1).view(">u8")[:, 0]
-    return [out.view(np.int64)]
+        count()
+    return [np.packbits(2 * ones > counts[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)]
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint as a signed long. Texts without words, and nulls, get zero."""
     made = struct_column("value bigint", lambda texts: fingerprints(texts, shingle))
     columns = [F.col(f"`{c}`") for c in docs.columns if c != name]
-    return docs.select(*columns, made(F.col(text)).alias("__made")).select(*columns, F.col("__made.value").alias(name))
+    inner = free_name(docs, "made")
+    return docs.select(*columns, made(F.col(text)).alias(inner)).select(*columns, F.col(inner)["value"].alias(name))
 
 
 class Forest:

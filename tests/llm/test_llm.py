@@ -33,6 +33,7 @@ from lodestone.llm import (
 )
 from lodestone.llm.license_rules import GATES, rules
 from lodestone.llm.queries import ORACLES, QUERIES
+from test_near_copies import brute_kept
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -369,7 +370,6 @@ def test_masking_keeps_clean_rows(spark):
 @pytest.fixture(scope="module")
 def tokenizer():
     made = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    made.encode_special_tokens = True
     return made
 
 
@@ -620,7 +620,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_operator_is_registered():
     names = contract.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 @pytest.fixture(scope="module")
@@ -658,25 +658,103 @@ def test_packing_and_sharding_queries(spark, table, tokenizer):
     assert set(loads) == set(range(40))
 
 
+def longest_repeat(words: list[str]) -> int:
+    """Words of the longest sequence that starts at two places."""
+    low, high = 0, len(words)
+    while low < high:
+        width = (low + high + 1) // 2
+        runs = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+        low, high = (width, high) if len(set(runs)) < len(runs) else (low, width - 1)
+    return low
+
+
+def kept_by_quality(text: str | None) -> bool:
+    words = WORD.findall(text or "")
+    longest = longest_repeat(words)
+    return not quality(text)[5] and not (longest > 50 and longest > 0.10 * len(words))
+
+
+def test_kept_matches_brute_force(spark, docs, rows, table):
+    extra = [(1000 + k, " ".join(f"w{j % n}" for j in range(300))) for k, n in enumerate((300, 240, 245, 260, 120))]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    frame = frame.unionByName(table.select("doc_id", "text"))
+    got = repetition.with_repetition(frame).select("doc_id", "kept", "longest_repeat")
+    every = [(r.doc_id, r.text) for r in frame.collect()]
+    want = Counter()
+    for i, t in every:
+        longest = longest_repeat(WORD.findall(t or ""))
+        want[i, kept_by_quality(t), longest if longest >= 5 else 0] += 1
+    assert bag(got.collect()) == want
+
+
+def plain_secrets(text: str) -> list[tuple[int, int]]:
+    """Places that the base patterns find, and values of sensitive names in the plain forms that the table holds."""
+    found = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    found += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return found + [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
 def test_pipeline_matches_brute_force(spark, table, tokenizer):
-    plain = [(r.doc_id, r.text) for r in table.collect()]
-    limits = repetition.RepetitionRules()
-    kept = [(i, t) for i, t in plain if bool(repetition.measured([t.encode()], limits)[8][0])]
-    assert all(not quality(t)[5] for _, t in kept)
-    first = {i for i, _, c in simhash_rows(kept) if i == c}
-    kept = [(i, t) for i, t in kept if i in first]
+    kept = [(r.doc_id, r.text) for r in table.collect() if kept_by_quality(r.text)]
+    left = brute_kept(kept)
+    kept = [(i, t) for i, t in kept if left[i is None, i or 0]]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     kept = [(i, t) for i, t in kept if not hits(t, items)[3]]
     wanted = Counter()
     for i, t in kept:
-        spans = secrets.secret_spans(t.encode(), secrets.SecretRules())
-        for a, b in sorted({(a, b) for a, b, _, _ in spans}, reverse=True):
-            if not any(x <= a and b <= y and (x, y) != (a, b) for x, y, _, _ in spans):
+        spans = plain_secrets(t)
+        for a, b in sorted(set(spans), reverse=True):
+            if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in spans):
                 t = t[:a] + "[SECRET]" + t[b:]
         wanted[i, (*tokenizer.encode(t, add_special_tokens=False).ids, 1)] += 1
     check_pieces(corpus_pipeline.run(spark, SMALL).collect(), wanted, 0.05)
 
 
+#: Names that operators use inside, and names with a dot.
+CLASHING = ["id", "_id", "_hash", "row", "found", "made", "measured", "masked", "spans", "raw", "gaps", "own_id", "own_text", "a.b",
+            "__found", "__masked", "__measured", "__row", "__words", "__line", "__base", "__made", "cut", "rest", "bytes"]
+
+
+def test_clashing_names_and_nulls(spark):
+    rows_ = [
+        (1, "password = hunter2secret and " + " ".join(f"w{k}" for k in range(12))), (2, None), (3, ""), (None, "x y"), (1, "mit license"),
+        (1, "mit license"),
+    ]
+    wide = [(i, t, *CLASHING) for i, t in rows_]
+    kinds = "doc_id long, text string, " + ", ".join(f"`{name}` string" for name in CLASHING)
+    frame = spark.createDataFrame(wide, kinds)
+    items = spark.createDataFrame([(7, "w1 w2 w3")], "item_id long, text string")
+
+    def own(made):
+        """The rows' clashing columns, as far as no result took their place."""
+        results = {"spans"} if "n_assign" in made.columns else set()
+        held = [c for c in CLASHING if c not in results]
+        assert all(tuple(r[c] for c in held) == tuple(held) for r in made.collect())
+        return made.count()
+
+    made = [
+        secrets.with_secrets(frame), secrets.mask_secrets(frame), repetition.with_repetition(frame), licenses.with_licenses(frame),
+        simhash.with_fingerprint(frame), decontamination.remove_spans(frame, items),
+    ]
+    assert [own(x) for x in made] == [6] * 6
+    assert own(decontamination.remove_contaminated(frame, items)) == 5
+    assert own(repetition.reject_repetition(frame)) == 1
+    assert own(corpus_pipeline.near_dedup(spark, frame, "")) == 4
+    cut = {r.doc_id: r.text for r in made[5].where("doc_id <> 1 OR text LIKE 'pass%'").collect()}
+    assert cut[2] is None and cut[3] == "" and "w1 w2" not in cut[1] and "w0" in cut[1]
+
+
+def test_one_very_long_text(spark):
+    """Shingles and repeats of a text of several pieces agree with plain counting."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(700_000)]
+    text = "  ".join(words + words[:300])
+    assert len(text.encode()) > 5 << 20
+    assert fingerprint(text) == int(simhash.fingerprints([text.encode()])[0].view(np.uint64)[0])
+    found = repetition.measured([text.encode()], repetition.RepetitionRules())
+    assert found[4][0] >= 600 and found[5][0] == 300
+
+
 def test_stages_keep_the_columns(spark, nothing):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, nothing, SMALL).columns == nothing.columns and stage(spark, nothing, SMALL).isEmpty()
