@@ -17,7 +17,7 @@ from lodestone.operators.metrics import METRICS, result_overlap, retrieval_metri
 from lodestone.operators.nearest import nearest
 from lodestone.operators.rank import parent_rank, top_per_group_merged
 from lodestone.plans.search import retrieve_own_language
-from lodestone.sources.index_store import append_items, load_index, save_index
+from lodestone.sources.index_store import append_items, compact, load_index, save_index
 
 IDS = {"query_id": "query_id", "item_id": "vec_id"}
 BITS = 128
@@ -360,6 +360,46 @@ def stored_append_topk(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+@query(
+    """WITH n AS (SELECT count(*) AS whole, count(*) FILTER (WHERE label < 5) AS half FROM embeddings)
+SELECT 'stored' AS step, half AS items, CAST(1 AS BIGINT) AS segments, half AS found FROM n
+UNION ALL SELECT 'interrupted', half, 1, half FROM n
+UNION ALL SELECT 'appended', whole, 2, whole FROM n
+UNION ALL SELECT 'compacted', whole, 1, whole FROM n"""
+)
+def stored_versions(spark, sf_dir):
+    """Half of the vectors stored, replaced by a write that stops half-way, the rest appended, segments joined.
+
+    found: vectors that an exact search of the stored index gives as the best for themselves.
+    """
+    items = vectors(spark, sf_dir)
+    first, second = items.filter("label < 5"), items.filter("label >= 5 OR label IS NULL")
+    path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+
+    def state(step):
+        index = load_index(spark, path)
+        best = index.search(as_queries(items), 1).filter(F.col("query_id") == F.col("vec_id"))
+        return checkpointed(index.items.agg(F.count("*").alias("items")).crossJoin(best.agg(F.count("*").alias("found"))).select(
+            F.lit(step).alias("step"), "items", F.lit(len(index.options["segments"])).cast("bigint").alias("segments"), "found"
+        ))
+
+    save_index(build_index(first, "flat", item_id="vec_id"), path)
+    out = [state("stored")]
+    try:  # the edges, written after the items, can't be read
+        broken = build_index(second, "flat", item_id="vec_id")
+        broken.edges = spark.range(1).select(F.raise_error(F.lit("stopped")).alias("node"))
+        save_index(broken, path)
+    except Exception as stopped:
+        if "stopped" not in str(stopped):
+            raise
+    out.append(state("interrupted"))
+    append_items(spark, path, second)
+    out.append(state("appended"))
+    compact(spark, path)
+    out.append(state("compacted"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 #: Kinds with trained models, their options and the recall of the exact top ten that they must reach.
 TRAINED = {
     "ivf_flat": ({"nlist": 16, "nprobe": 12}, 0.8),

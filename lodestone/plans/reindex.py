@@ -11,7 +11,7 @@ from lodestone.functions.vectors import norm_stats
 from lodestone.operators.ann import INDEX_TYPES, VectorIndex, build_index
 from lodestone.operators.metrics import result_overlap
 from lodestone.report import format_size
-from lodestone.sources.index_store import TECHNICAL, _exists, index_bytes, load_index, save_index
+from lodestone.sources.index_store import TECHNICAL, _exists, index_bytes, load_index, read_manifest, save_index
 
 CHECK_QUERIES = 100
 CHECK_TOP = 10
@@ -54,7 +54,8 @@ def reindex(
     stored = load_index(spark, source)
     if stored.item_vector not in stored.items.columns:
         raise ValueError("the source index keeps codes only; re-index from a flat index")
-    is_evaluation = _exists(spark, f"{source}/cache_key")
+    manifest = read_manifest(spark, source)
+    is_evaluation = manifest["key"] is not None
     output = output or default_output(source, index_type, is_evaluation)
     if _exists(spark, output) and not force:
         raise FileExistsError(f"{output} exists; use force to overwrite")
@@ -70,11 +71,8 @@ def reindex(
         exact.items, index_type, item_id=exact.item_id, item_vector=exact.item_vector, **params
     )
     rebuilt.details = exact.details
-    save_index(rebuilt, output)
-    for extra in ("queries", "cache_key"):
-        if _exists(spark, f"{source}/{extra}"):
-            reader, kind = (spark.read.text, "text") if extra == "cache_key" else (spark.read.parquet, "parquet")
-            reader(f"{source}/{extra}").write.mode("overwrite").format(kind).save(f"{output}/{extra}")
+    queries = spark.read.parquet(f"{source}/{manifest['queries']}") if manifest["queries"] else None
+    save_index(rebuilt, output, queries=queries, key=manifest["key"])
     saved = load_index(spark, output)
     recall = check_recall(exact, saved)
     before, after = index_bytes(spark, source), index_bytes(spark, output)
