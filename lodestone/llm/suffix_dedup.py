@@ -48,6 +48,12 @@ POSITION = np.uint64(0xFFFFFF)
 SEGMENT = "id long, start int, width int, anchor int, key long, fold long"
 PART = f"up_key long, up_fold long, offset int, n long, {SEGMENT}"
 RUNS = "array<struct<first: int, stop: int>>"
+#: Sorted runs of a segment, those that touch as one.
+JOINED_RUNS = f"""aggregate(runs, cast(array() AS {RUNS}), (held, r) -> CASE
+  WHEN size(held) > 0 AND r.first <= element_at(held, -1).stop
+  THEN concat(slice(held, 1, size(held) - 1), array(named_struct(
+    'first', element_at(held, -1).first, 'stop', greatest(element_at(held, -1).stop, r.stop))))
+  ELSE concat(held, array(r)) END)"""
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -287,7 +293,8 @@ def _repeated_spans(table: DataFrame, found: DataFrame, length: int, folder: str
             F.col("up_key").alias("key"), F.col("up_fold").alias("fold"), moved.alias("runs")
         )
         tiers[-1] = (tiers[-1][0], tiers[-1][1].unionByName(above))
-    settled = tiers[0][1].groupBy("key", "fold").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    settled = tiers[0][1].groupBy("key", "fold").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
+    settled = settled.withColumn("runs", F.expr(JOINED_RUNS))
     spans = found.join(settled, ["key", "fold"]).select("id", "start", F.explode("runs").alias("run"))
     return spans.select(
         "id", (F.col("start") + F.col("run.first")).alias("begin"),
