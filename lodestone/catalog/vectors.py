@@ -400,10 +400,11 @@ def stored_versions(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-#: Kinds with trained models, their options and the recall of the exact top ten that they must reach.
+#: Kinds with trained models, their options, candidates for each result and the recall of the exact top ten that they must reach.
 TRAINED = {
-    "ivf_flat": ({"nlist": 16, "nprobe": 12}, 0.8),
-    "pq": ({"pq_m": 16, "pq_bits": 6}, 0.5),
+    "ivf_flat": ({"nlist": 16, "nprobe": 12}, 1, 0.9),
+    "pq": ({"pq_m": 16, "pq_bits": 6}, 8, 0.9),
+    "ivf_pq": ({"nlist": 16, "nprobe": 12, "pq_m": 16, "pq_bits": 6}, 8, 0.9),
 }
 
 
@@ -416,8 +417,9 @@ def trained_index_recall(spark, sf_dir):
     items = vectors(spark, sf_dir)
     truth = checkpointed(nearest(as_queries(items), items, 10, **IDS))
     out = []
-    for kind, (options, floor) in TRAINED.items():
-        found = checkpointed(build_index(items, kind, item_id="vec_id", **options).search(as_queries(items), 10))
+    for kind, (options, refine, floor) in TRAINED.items():
+        index = build_index(items, kind, item_id="vec_id", **options)
+        found = checkpointed(index.search(as_queries(items), 10, refine=refine))
         recall = result_overlap(truth, found, item_id="vec_id")
         out.append(
             found.agg(F.count("*").alias("result_rows")).withColumn("index_type", F.lit(kind)).join(
@@ -497,3 +499,36 @@ def ann_recall_vs_flat(spark, sf_dir):
     every = reduce(lambda a, b: a.unionByName(b), found)
     recall = result_overlap(truth, every, item_id="vec_id", by="index_type")
     return recall.withColumn("recall", F.round("recall", 6))
+
+
+#: Candidates that a search by codes gives for each result of its exact second pass.
+REFINED = {"pq": 20, "lsh": 20}
+
+
+def refined_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"""SELECT '{kind}' AS index_type, count(*) AS expected, count(f.vec_id) AS hits,
+        round(count(f.vec_id) / count(*), 6) AS recall
+        FROM truth t LEFT JOIN ({top(f'{kind}_again')}) f ON t.query_id = f.query_id AND t.vec_id = f.vec_id"""
+        for kind in REFINED
+    )
+    again = ", ".join(
+        f"{kind}_again AS (SELECT p.* FROM pairs p SEMI JOIN ({top(kind, 10 * times)}) c USING (query_id, vec_id))"
+        for kind, times in REFINED.items()
+    )
+    return f"WITH {UNIT}, {CELLS}, {PAIRS}, truth AS ({top('pairs')}), {PQ}, {LSH}, {again} {rows}"
+
+
+@query(refined_sql())
+def refined_recall(spark, sf_dir):
+    """Share of the exact top ten found when candidates by codes are scored again exactly, over all vectors."""
+    items = vectors(spark, sf_dir)
+    means = label_means(items)
+    truth = nearest(as_queries(items), items, 10, **IDS)
+    found = [
+        label_index(items, kind, means).search(as_queries(items), 10, refine=times)
+        .withColumn("index_type", F.lit(kind))
+        for kind, times in REFINED.items()
+    ]
+    recall = result_overlap(truth, reduce(lambda a, b: a.unionByName(b), found), item_id="vec_id", by="index_type")
+    return recall.withColumn("recall", F.round("recall", 6))

@@ -3,8 +3,10 @@
 An index is the item table plus a ``cell`` and/or ``code`` column, and a model
 of bounded size (centroids, codebooks, hyperplanes) kept on the driver. Search
 is a top-k join: inverted-file kinds join each query only with the cells it
-probes, compressed kinds decode codes inside the scoring kernel. Nothing here
-scans pairs in Python; blocks are scored by matrix products.
+probes. Quantised kinds are scored on their codes, by a table of each query's
+products with all codewords; half precision and sign bits are decoded inside the
+scoring kernel. Nothing here scans pairs in Python; blocks are scored at once. A
+search may ask for more candidates than it returns and score those again exactly.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.arrow import with_arrow_column
 from lodestone.functions.vectors import from_matrix, to_matrix, unit_rows
 from lodestone.operators.lineage import checkpointed
-from lodestone.operators.nearest import nearest
+from lodestone.operators.nearest import SCORE_SCALE, Products, nearest
 
 # Stored metadata is split by a hash of the item id, for point lookups.
 LOOKUP = "lookup_part"
@@ -183,6 +185,42 @@ class PqCodec:
         return np.concatenate(parts, axis=1)
 
 
+@dataclass
+class TableScores(Products):
+    """Inner products of query vectors with coded items, without decoding these.
+
+    ``prepare`` multiplies a stripe of queries with every codeword once; an item's score is the
+    sum of the entries that its code names. With ``centroids`` codes are of residuals, and the
+    product with the centroid of the item's cell is one more entry. Tables exist for one stripe
+    of queries at a time, a row for each codeword, so that an entry of all its queries is contiguous.
+    """
+
+    codebooks: np.ndarray
+    centroids: np.ndarray | None = None
+
+    def places(self, codes: np.ndarray, cells: np.ndarray | None) -> np.ndarray:
+        """Rows of the table that make up the score of every item."""
+        m, words, _ = self.codebooks.shape
+        rows = codes.astype(np.int32) + np.arange(m, dtype=np.int32) * words
+        return rows if cells is None else np.column_stack([rows, cells.astype(np.int32) + m * words])
+
+    def prepare(self, queries: np.ndarray) -> np.ndarray:
+        width = self.codebooks.shape[2]
+        tables = [
+            book @ queries[:, part * width : (part + 1) * width].T for part, book in enumerate(self.codebooks)
+        ]
+        if self.centroids is not None:
+            tables.append(self.centroids @ queries.T)
+        return np.vstack(tables)
+
+    def scores(self, prepared: np.ndarray, items: np.ndarray) -> np.ndarray:
+        total = np.take(prepared, items[:, 0], axis=0)
+        entry = np.empty_like(total)
+        for column in range(1, items.shape[1]):
+            total += np.take(prepared, items[:, column], axis=0, out=entry)
+        return total.T
+
+
 class HalfCodec:
     """Two bytes per component: IEEE half precision."""
 
@@ -231,13 +269,23 @@ class VectorIndex:
 
     def search(
         self, queries: DataFrame, k: int, *, query_id="query_id", query_vector="query_embedding",
-        own: str | None = None, **options,
+        own: str | None = None, refine: int = 1, **options,
     ) -> DataFrame:
         """Top-k items per query; LSH scores are negated Hamming distances.
 
         ``own`` names a column of both sides: each query then searches only the
-        items that share its value.
+        items that share its value. With ``refine`` above 1 the index gives ``refine * k``
+        candidates a query, which are ranked by exact inner products; it must hold its vectors.
         """
+        if refine < 1:
+            raise ValueError("refine must be at least 1")
+        if refine > 1 and self.edges is None:
+            if self.item_vector not in self.items.columns:
+                raise ValueError("the index keeps codes only; candidates can't be scored exactly")
+            found = self.search(
+                queries, k * refine, query_id=query_id, query_vector=query_vector, own=own, **options
+            )
+            return self._rescored(queries, found, k, query_id, query_vector)
         if self.edges is not None:
             from lodestone.operators.graph import search_graph
 
@@ -268,7 +316,7 @@ class VectorIndex:
             queries, items, k, query_id=query_id, query_vector=query_vector,
             item_id=self.item_id, item_vector=self.item_vector, on=on,
             decode=self._decoder(), decode_from=("code",) if self.centroids is None else ("code", "cell"),
-            normalize=not isinstance(self.codec, SignCodec), **options,
+            scorer=self._scorer(), normalize=not isinstance(self.codec, SignCodec), **options,
         )
         found = found.drop(on) if on else found
         if isinstance(self.codec, SignCodec):
@@ -276,10 +324,43 @@ class VectorIndex:
             found = found.withColumn("score", (F.col("score") - bits) / 2)
         return found
 
+    def _rescored(self, queries, found, k, query_id, query_vector) -> DataFrame:
+        """The k best candidates by exact scores; only ids travel until vectors join them."""
+        pairs = found.select(query_id, self.item_id).distinct()
+        items = self.items.select(self.item_id, self.item_vector).toDF(self.item_id, "_item")
+        asked = queries.select(query_id, query_vector).toDF(query_id, "_query")
+
+        def exact(batch):
+            sides = [unit_rows(to_matrix(batch.column(c))) for c in ("_query", "_item")]
+            return pa.array(np.rint(np.einsum("ij,ij->i", *sides) * SCORE_SCALE) / SCORE_SCALE)
+
+        scored = with_arrow_column(
+            pairs.join(items, self.item_id).join(asked, query_id),
+            T.StructField("score", T.DoubleType()), ("_query", "_item"), exact,
+        )
+        ranking = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(self.item_id))
+        return (
+            scored.select(query_id, self.item_id, (F.col("score") + 0.0).alias("score"))
+            .withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k)
+        )
+
+    def _scorer(self) -> Products:
+        if isinstance(self.codec, PqCodec):
+            return TableScores(self.codec.codebooks, self.centroids)
+        return Products()
+
     def _decoder(self):
         if self.codec is None:
             return None
         codec, centroids = self.codec, self.centroids
+        if isinstance(codec, PqCodec):
+            tables = self._scorer()
+
+            def read(table) -> np.ndarray:
+                cells = None if centroids is None else np.asarray(table.column("cell"))
+                return tables.places(_packed(table.column("code")), cells)
+
+            return read
 
         def decode(table) -> np.ndarray:
             vectors = codec.decode(_packed(table.column("code")))

@@ -46,11 +46,21 @@ _RANK_BITS = 24
 Decoder = Callable[[pa.Table], np.ndarray]
 
 
+class Products:
+    """Scores of a stripe of query vectors against a stripe of items: inner products of vectors."""
+
+    def prepare(self, queries: np.ndarray) -> np.ndarray:
+        return queries
+
+    def scores(self, prepared: np.ndarray, items: np.ndarray) -> np.ndarray:
+        return prepared @ items.T
+
+
 def _ids(column) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False))
 
 
-def _block_top(items, item_ids, queries, query_rows, k) -> pd.DataFrame:
+def _block_top(items, item_ids, queries, query_rows, k, scorer=Products()) -> pd.DataFrame:
     """Best k items of one block for each query; ties go to the smaller id.
 
     Stripes keep the score matrix inside the processor cache. The first item
@@ -62,10 +72,10 @@ def _block_top(items, item_ids, queries, query_rows, k) -> pd.DataFrame:
     found = []
     for q_at in range(0, len(queries), _QUERY_STRIPE):
         stripe = queries[q_at : q_at + _QUERY_STRIPE]
-        floor = None
+        prepared, floor = scorer.prepare(stripe), None
         for i_at in range(0, len(items), _ITEM_STRIPE):
             part = items[i_at : i_at + _ITEM_STRIPE]
-            raw = stripe @ part.T
+            raw = scorer.scores(prepared, part)
             raw *= SCORE_SCALE
             keep = min(k, part.shape[0])
             rows, at = (None, None) if floor is None else np.nonzero(raw > floor[:, None])
@@ -125,6 +135,7 @@ def nearest(
     per_group: bool = False,
     decode: Decoder | None = None,
     decode_from: tuple[str, ...] = (),
+    scorer: Products = Products(),
     normalize: bool = True,
     exclude_self: bool = False,
     strategy: str = "auto",
@@ -135,7 +146,8 @@ def nearest(
     appear once per group it visits, or once with an array of the groups that it
     visits, and then the group is no column of the result. ``per_group`` ranks within (query, group)
     rather than over all groups of a query. ``decode`` turns a batch of items
-    into vectors when they are stored compressed in the ``decode_from`` columns.
+    into vectors when they are stored compressed in the ``decode_from`` columns, or
+    into any matrix of a row an item that ``scorer`` compares with query vectors.
     ``exclude_self`` drops the item whose id equals the query id.
     """
     if k < 1:
@@ -219,10 +231,10 @@ def nearest(
                         rows = by_group.get(value)
                         if rows is not None:
                             parts.append(
-                                _block_top(vectors[at], item_ids[at], matrix[rows], rows, width)
+                                _block_top(vectors[at], item_ids[at], matrix[rows], rows, width, scorer)
                             )
                 else:
-                    parts.append(_block_top(vectors, item_ids, matrix, every, width))
+                    parts.append(_block_top(vectors, item_ids, matrix, every, width, scorer))
                 kept += parts
                 held += sum(map(len, parts))
                 # Sort only when the buffer holds some full results for every query.
@@ -238,7 +250,7 @@ def nearest(
         narrow = checkpointed(narrow.withColumn(on, F.explode(on)) if visits else narrow)
         candidates = _blocked(
             narrow, items, group, query_id, item_id, schema, names, types,
-            query_matrix, item_matrix, width, query_vector,
+            query_matrix, item_matrix, width, query_vector, scorer,
         )
 
     if exclude_self:
@@ -251,7 +263,7 @@ def nearest(
 
 def _blocked(
     queries, items, group, query_id, item_id, schema, names, types,
-    query_matrix, item_matrix, width, query_vector,
+    query_matrix, item_matrix, width, query_vector, scorer,
 ) -> DataFrame:
     """Score a grid of (query block, item block) pairs per group."""
     first = queries.select(F.size(query_vector)).first()
@@ -305,7 +317,7 @@ def _blocked(
         if len(ids) and right_rows.num_rows:
             found = _block_top(
                 item_matrix(right_rows), _ids(right_rows.column(item_id)),
-                query_matrix(left_rows), np.arange(len(ids)), width,
+                query_matrix(left_rows), np.arange(len(ids)), width, scorer,
             )
         return pa.Table.from_batches([_emit(found, ids, groups, names, types)])
 

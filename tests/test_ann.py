@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import l2_normalize, norm_stats, to_matrix
-from lodestone.operators.ann import HalfCodec, SignCodec, build_index, hyperplanes
+from lodestone.operators.ann import HalfCodec, PqCodec, SignCodec, TableScores, build_index, hyperplanes
 from lodestone.operators.metrics import result_overlap
 from lodestone.operators.nearest import nearest
 from lodestone.sources.index_store import load_index, save_index
@@ -126,3 +126,38 @@ def test_normalize_and_stats(spark):
     assert rows[0]["v"] == pytest.approx([0.6, 0.8]) and rows[1]["v"] == [0.0, 0.0]
     stats = norm_stats(frame).first()
     assert (stats["vectors"], stats["min_norm"], stats["max_norm"], stats["mean_norm"]) == (2, 0.0, 5.0, 2.5)
+
+
+@pytest.mark.parametrize("coarse", [False, True])
+def test_table_scores_equal_products_with_decoded_vectors(coarse):
+    rng = np.random.default_rng(3)
+    books, centroids = rng.normal(size=(4, 16, 3)), rng.normal(size=(5, 12)) if coarse else None
+    queries, codes, cells = rng.normal(size=(7, 12)), rng.integers(0, 16, (50, 4)).astype(np.uint8), rng.integers(0, 5, 50)
+    tables = TableScores(books, centroids)
+    got = tables.scores(tables.prepare(queries), tables.places(codes, cells if coarse else None))
+    decoded = PqCodec(books).decode(codes) + (centroids[cells] if coarse else 0)
+    assert np.allclose(got, queries @ decoded.T)
+    assert tables.scores(tables.prepare(queries), tables.places(codes[:0], cells[:0] if coarse else None)).shape == (7, 0)
+
+
+@pytest.mark.parametrize("kind,options", [("pq", {"pq_m": 8, "pq_bits": 5}), ("lsh", {"lsh_nbits": 128})])
+def test_refined_search_scores_its_candidates_exactly(items, kind, options):
+    index = build_index(items, kind, item_id="vec_id", **options)
+    plain, refined = index.search(as_queries(items), 80), index.search(as_queries(items), 10, refine=8)
+    exact = nearest(as_queries(items), items, 400, item_id="vec_id").select("query_id", "vec_id", "score")
+    want = {}
+    for query, item, score in plain.select("query_id", "vec_id").join(exact, ["query_id", "vec_id"]).collect():
+        want.setdefault(query, []).append((-score, item))
+    got = {}
+    for row in refined.orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((-row["score"], row["vec_id"]))
+    assert got == {query: sorted(found)[:10] for query, found in want.items()}
+
+
+def test_refining_needs_vectors(items):
+    index = build_index(items, "lsh", item_id="vec_id", lsh_nbits=32)
+    index.items = index.items.drop("embedding")
+    with pytest.raises(ValueError, match="codes only"):
+        index.search(as_queries(items), 5, refine=4)
+    with pytest.raises(ValueError, match="at least 1"):
+        index.search(as_queries(items), 5, refine=0)
