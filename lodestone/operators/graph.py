@@ -8,11 +8,15 @@ same tables, so a search may be restricted to some of them and loses nothing.
 Search: all queries walk the layers of all their groups together. One round joins
 the unexpanded beam with the edges, scores the new nodes and keeps the best
 ``ef`` per query and group, until no beam has anything left to expand.
+
+Insertion: a batch searches the stored graph for its neighbours, so only its own nodes
+and those that it links to get new adjacency lists.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +28,7 @@ from pyspark.sql import types as T
 from lodestone.functions.arrow import with_arrow_column
 from lodestone.functions.vectors import to_matrix, unit_rows
 from lodestone.operators.ann import VectorIndex
-from lodestone.operators.lineage import checkpointed
+from lodestone.operators.lineage import checkpointed, light
 from lodestone.operators.nearest import SCORE_SCALE, nearest
 
 #: Cells that a new item looks into for neighbours.
@@ -44,6 +48,14 @@ def _light(frame: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(frame) if rows * row_bytes <= BROADCAST_BYTES else frame
 
 
+def _keyed(items: DataFrame, item_vector: str, group: str | None) -> DataFrame:
+    """Add the group and a 128-bit content hash of the vector."""
+    vector = F.col(item_vector)
+    return items.withColumns(
+        {"_g": _group(group), "_h1": F.xxhash64(vector), "_h2": F.xxhash64(F.lit("copy"), vector)}
+    )
+
+
 def with_representative(items: DataFrame, item_id: str, item_vector: str, group: str | None = None) -> DataFrame:
     """Add ``rep``: the smallest id among items of the group with the same vector.
 
@@ -52,11 +64,7 @@ def with_representative(items: DataFrame, item_id: str, item_vector: str, group:
     very many copies; they are the large side of a join with unique keys, which
     adaptive execution splits.
     """
-    vector = F.col(item_vector)
-    keyed = items.withColumns(
-        {"_g": _group(group), "_h1": F.xxhash64(vector), "_h2": F.xxhash64(F.lit("copy"), vector)}
-    )
-    keys = ["_g", "_h1", "_h2"]
+    keyed, keys = _keyed(items, item_vector, group), ["_g", "_h1", "_h2"]
     reps = keyed.groupBy(*keys).agg(F.min(item_id).alias("rep")).toDF(*keys, "rep")
     return keyed.join(reps, keys).select(*items.columns, "rep")
 
@@ -208,31 +216,24 @@ def _scored(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, shared) ->
     return scored.select("_q", "_g", "node", "score")
 
 
-def search_graph(
-    index: VectorIndex, queries: DataFrame, k: int, *, query_id="query_id",
-    query_vector="query_embedding", own: str | None = None,
-) -> DataFrame:
-    """Beam search of all queries at once; columns as in the exact join.
+def _nodes(index: VectorIndex) -> DataFrame:
+    """Nodes of the graph: one for each vector of a group."""
+    return index.items.filter(F.col(index.item_id) == F.col("rep")).select(
+        F.col(index.item_id).alias("node"), F.col(index.item_vector).alias("_iv"), "level",
+        _group(index.options.get("group")).alias("_g"),
+    )
 
-    Every group that the items hold is searched, or, with ``own``, each query's own.
+
+def _tops(nodes: DataFrame) -> dict[str, int]:
+    """Where the graph of each group is entered: one row for each group."""
+    return {r["_g"]: r["top"] for r in nodes.groupBy("_g").agg(F.max("level").alias("top")).collect()}
+
+
+def _beams(index: VectorIndex, nodes: DataFrame, tops: dict[str, int], asked: DataFrame, ef: int) -> Iterator[tuple[int, DataFrame]]:
+    """Layers from the top and what all queries found there, as ``_q, _g, node, score``.
+
+    ``asked`` has ``_q, _qv`` and the groups ``_gs`` that a query searches. The beam is ``ef`` wide on the lowest layer.
     """
-    if own is not None and own != index.options.get("group"):
-        raise ValueError(f"the graph is not grouped by {own}")
-    group = index.options.get("group")
-    nodes = index.items.filter(F.col(index.item_id) == F.col("rep")).select(
-        F.col(index.item_id).alias("node"), F.col(index.item_vector).alias("_iv"), "level", _group(group).alias("_g")
-    )
-    # One row for each group: where its graph is entered.
-    tops = {r["_g"]: r["top"] for r in nodes.groupBy("_g").agg(F.max("level").alias("top")).collect()}
-    if not tops:
-        return nearest(
-            queries, index.items, k, query_id=query_id, query_vector=query_vector,
-            item_id=index.item_id, item_vector=index.item_vector,
-        )
-    where = F.array(*(F.lit(name) for name in sorted(tops))) if own is None else F.array(_group(own))
-    asked = checkpointed(
-        queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), where.alias("_gs"))
-    )
     known = asked.drop("_gs")
     shared = _shared_queries(known)
     top = F.lit(-1)
@@ -245,11 +246,10 @@ def search_graph(
         item_id="node", item_vector="_iv", on="_g", per_group=True,
     )
     beam = entry.select("_q", "_g", "node", "score")
-    order = [F.desc("score"), F.asc("node")]
-    final = Window.partitionBy("_q", "_g").orderBy(*order)
+    final = Window.partitionBy("_q", "_g").orderBy(F.desc("score"), F.asc("node"))
     vectors = nodes.select("node", "_iv")
     for level in range(max(tops.values()), -1, -1):
-        ef = max(k, index.options.get("ef_search", 64)) if level == 0 else degree
+        width = ef if level == 0 else degree
         links = index.edges.filter(F.col("level") == level).select(F.col("src").alias("node"), "links")
         beam = checkpointed(beam.withColumn("expanded", F.lit(False)))
         while waiting := beam.filter(~F.col("expanded")).count():
@@ -260,12 +260,38 @@ def search_graph(
             grown = beam.withColumn("expanded", F.lit(True)).unionByName(
                 _scored(fresh, vectors, known, shared).withColumn("expanded", F.lit(False))
             )
-            # A node outside the best ef can never come back, so it is forgotten.
+            # A node outside the best can never come back, so it is forgotten.
             beam = checkpointed(
-                grown.withColumn("_n", F.row_number().over(final)).filter(F.col("_n") <= ef).drop("_n")
+                grown.withColumn("_n", F.row_number().over(final)).filter(F.col("_n") <= width).drop("_n")
             )
         beam = beam.drop("expanded")
-    overall = Window.partitionBy("_q").orderBy(*order)
+        yield level, beam
+
+
+def search_graph(
+    index: VectorIndex, queries: DataFrame, k: int, *, query_id="query_id",
+    query_vector="query_embedding", own: str | None = None,
+) -> DataFrame:
+    """Beam search of all queries at once; columns as in the exact join.
+
+    Every group that the items hold is searched, or, with ``own``, each query's own.
+    """
+    if own is not None and own != index.options.get("group"):
+        raise ValueError(f"the graph is not grouped by {own}")
+    nodes = _nodes(index)
+    tops = _tops(nodes)
+    if not tops:
+        return nearest(
+            queries, index.items, k, query_id=query_id, query_vector=query_vector,
+            item_id=index.item_id, item_vector=index.item_vector,
+        )
+    where = F.array(*(F.lit(name) for name in sorted(tops))) if own is None else F.array(_group(own))
+    asked = checkpointed(
+        queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"), where.alias("_gs"))
+    )
+    for _, beam in _beams(index, nodes, tops, asked, max(k, index.options.get("ef_search", 64))):
+        pass  # the last layer counts
+    overall = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc("node"))
     best = beam.withColumn("_n", F.row_number().over(overall)).filter(F.col("_n") <= k)
     # Copies share their representative's score: the k smallest ids can matter.
     smallest = Window.partitionBy("node").orderBy("member")
@@ -281,3 +307,128 @@ def search_graph(
         .filter(F.col("rank") <= k)
         .select(F.col("_q").alias(query_id), F.col("member").alias(index.item_id), "score", "rank")
     )
+
+
+def diverse(near: np.ndarray, score: np.ndarray, m: int) -> list[int]:
+    """Places of at most m neighbours, the best first, by the relative-neighbourhood rule.
+
+    A candidate nearer to a kept neighbour than to the node is put off: it is reached through
+    that neighbour. Room that is left goes to the best of those put off.
+    """
+    alike = near @ near.T
+    kept: list[int] = []
+    put_off: list[int] = []
+    for i in np.argsort(-score, kind="stable").tolist():
+        if len(kept) == m:
+            break
+        (put_off if (alike[i, kept] > score[i]).any() else kept).append(i)
+    return kept + put_off[: m - len(kept)]
+
+
+def _diverse_links(pairs: DataFrame, vectors: DataFrame, m: int) -> DataFrame:
+    """``level, src, dst, score`` of at most m diverse neighbours among the pairs ``level, src, dst`` of a bounded count a node."""
+    held = pairs.join(vectors.toDF("dst", "_iv"), "dst").groupBy("level", "src").agg(
+        F.array_sort(F.collect_list(F.struct("dst", "_iv"))).alias("_near")
+    )
+    # A node without its vector can't be placed.
+    own = held.join(vectors.toDF("src", "_sv"), "src")
+
+    def compute(batch):
+        near = batch.column("_near")
+        ends = near.offsets.to_numpy() - near.offsets[0].as_py()
+        flat = unit_rows(to_matrix(near.flatten().field("_iv")))
+        source = unit_rows(to_matrix(batch.column("_sv")))
+        out = []
+        for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            score = np.rint(flat[a:b] @ source[row] * SCORE_SCALE) / SCORE_SCALE + 0.0
+            out.append([{"at": i, "score": score[i]} for i in diverse(flat[a:b], score, m)])
+        return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("score", pa.float64())])))
+
+    kind = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    kept = with_arrow_column(own, T.StructField("_kept", kind), ("_near", "_sv"), compute)
+    return kept.withColumn("_one", F.explode("_kept")).select(
+        "level", "src", F.get("_near", F.col("_one.at"))["dst"].alias("dst"), F.col("_one.score").alias("score")
+    )
+
+
+def _with_stored_representative(index: VectorIndex, items: DataFrame) -> DataFrame:
+    """Add ``rep``: the stored node of the same vector, else the smallest id of the batch with it."""
+    group, keys = index.options.get("group"), ["_g", "_h1", "_h2"]
+    new = checkpointed(with_representative(items, index.item_id, index.item_vector, group))
+    asked = light(checkpointed(_keyed(new, index.item_vector, group).select(*keys).distinct()))
+    nodes = _keyed(index.items.filter(F.col(index.item_id) == F.col("rep")), index.item_vector, group)
+    known = nodes.join(asked, keys, "left_semi").select(*keys, F.col(index.item_id).alias("_old"))
+    return _keyed(new, index.item_vector, group).join(known, keys, "left").select(
+        *items.columns, F.coalesce("_old", "rep").alias("rep")
+    )
+
+
+def insert_items(index: VectorIndex, items: DataFrame, probes: int = BUILD_PROBES) -> tuple[DataFrame, DataFrame]:
+    """Rows of *items* with ``level`` and ``rep``, and the adjacency lists that they change: ``level, src, links``.
+
+    Every new node walks the graph of its own group for candidates and finds others in the batch by
+    cells, as when a graph is built. It keeps at most m diverse ones on each layer. Nodes it links to get a link
+    back; a list that outgrows 2m is thinned by the same rule. All other lists stay as they are. Stored vectors are
+    read once for copies; no stored node is moved. An empty batch changes nothing.
+    """
+    m, group, item_id = index.options.get("m", 32), index.options.get("group"), index.item_id
+    leveled = checkpointed(with_level(_with_stored_representative(index, items), item_id, m))
+    own = leveled.filter(F.col(item_id) == F.col("rep")).select(
+        item_id, index.item_vector, "level", _group(group).alias("_g")
+    )
+    stored = _nodes(index)
+    tops = _tops(stored)
+    counts = own.groupBy("_g", "level").count().collect()
+    found = []
+    if tops and counts:
+        asked = checkpointed(
+            own.select(F.col(item_id).alias("_q"), F.col(index.item_vector).alias("_qv"), F.array("_g").alias("_gs"))
+        )
+        levels = own.select(F.col(item_id).alias("_q"), F.col("level").alias("_top"))
+        for level, beam in _beams(index, stored, tops, asked, index.options.get("ef_construction", 200)):
+            found.append(
+                beam.join(levels.filter(F.col("_top") >= level), "_q").select(
+                    F.lit(level).alias("level"), F.col("_q").alias("src"), F.col("node").alias("dst"), "score"
+                )
+            )
+    for level in range(max((r["level"] for r in counts), default=-1) + 1):
+        rows: dict[str, int] = {}
+        for r in counts:
+            if r["level"] >= level:
+                rows[r["_g"]] = rows.get(r["_g"], 0) + r["count"]
+        layer = own.filter(F.col("level") >= level)
+        near = _layer_links(layer, rows, item_id, index.item_vector, m, index.options.get("ef_construction", 200), probes)
+        found.append(near.select(F.lit(level).alias("level"), "src", "dst", "score"))
+    if not found:
+        return leveled, index.edges.limit(0)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    vectors = stored.select("node", "_iv").unionByName(own.select(F.col(item_id).alias("node"), F.col(index.item_vector).alias("_iv")))
+    best = Window.partitionBy("level", "src").orderBy(F.desc("score"), F.asc("dst"))
+    close = pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= 4 * m)
+    out = checkpointed(_diverse_links(close.select("level", "src", "dst"), vectors, m))
+    back = out.select("level", F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
+    # Many new items may point at one node; Spark trims to m per task before the shuffle.
+    back = back.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= m)
+    linked = checkpointed(out.select("level", "src", "dst").unionByName(back.select("level", "src", "dst")))
+    touched = linked.select("level", "src").distinct()
+    before = index.edges.join(light(checkpointed(touched)), ["level", "src"], "left_semi")
+    lists = checkpointed(
+        linked.unionByName(before.select("level", "src", F.explode("links").alias("dst")))
+        .groupBy("level", "src").agg(F.collect_set("dst").alias("links"))
+    )
+    full = lists.filter(F.size("links") > 2 * m).select("level", "src", F.explode("links").alias("dst"))
+    thinned = _diverse_links(full, vectors, 2 * m).groupBy("level", "src").agg(F.collect_set("dst").alias("links"))
+    return leveled, checkpointed(lists.filter(F.size("links") <= 2 * m).unionByName(thinned))
+
+
+def newest_links(parts: list[DataFrame]) -> DataFrame:
+    """Adjacency lists of a graph and its insertions, the oldest first: the newest list of every node counts."""
+    if len(parts) == 1:
+        return parts[0]
+    numbered = [part.select("level", "src", "links", F.lit(k).alias("_k")) for k, part in enumerate(parts)]
+    union = numbered[0]
+    for more in numbered[1:]:
+        union = union.unionByName(more)
+    return union.groupBy("level", "src").agg(F.max_by("links", "_k").alias("links"))
