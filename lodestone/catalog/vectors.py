@@ -400,6 +400,38 @@ def stored_versions(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def grown_graph(spark, sf_dir):
+    """A graph of half the labels, stored, and grown by the other half. Its lists before, the loaded index, and all items."""
+    items = vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}"
+    save_index(build_index(items.filter("label < 5"), "hnsw", item_id="vec_id", hnsw_m=16, hnsw_ef_search=64), path)
+    before = load_index(spark, path).edges
+    append_items(spark, path, items.filter("label >= 5 OR label IS NULL"))
+    return before, load_index(spark, path), items
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS whole FROM embeddings)
+SELECT whole AS items, CAST(2 AS BIGINT) AS segments, whole * least(whole, 10) AS result_rows, true AS no_list_over_twice_m,
+       true AS no_list_lost, true AS finds_nine_in_ten FROM n"""
+)
+def graph_append_topk(spark, sf_dir):
+    """Search of a stored graph that grew by an append, against the exact top ten."""
+    before, index, items = grown_graph(spark, sf_dir)
+    found = checkpointed(index.search(as_queries(items), 10))
+    truth = nearest(as_queries(items), items, 10, **IDS)
+    lists = index.edges.agg((F.max(F.size("links")) <= 32).alias("no_list_over_twice_m"))
+    lost = before.join(index.edges, ["level", "src"], "left_anti").agg((F.count("*") == 0).alias("no_list_lost"))
+    recall = result_overlap(truth, found, item_id="vec_id").select((F.col("recall") >= 0.9).alias("finds_nine_in_ten"))
+    # Every side is one row.
+    return (
+        index.items.agg(F.count("*").alias("items"))
+        .withColumn("segments", F.lit(len(index.options["segments"])).cast("bigint"))
+        .crossJoin(found.agg(F.count("*").alias("result_rows")))
+        .crossJoin(lists).crossJoin(lost).crossJoin(recall)
+    )
+
+
 #: Kinds with trained models, their options, candidates for each result and the recall of the exact top ten that they must reach.
 TRAINED = {
     "ivf_flat": ({"nlist": 16, "nprobe": 12}, 1, 0.9),
