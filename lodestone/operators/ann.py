@@ -29,6 +29,8 @@ from lodestone.operators.nearest import SCORE_SCALE, Products, nearest
 
 # Stored metadata is split by a hash of the item id, for point lookups.
 LOOKUP = "lookup_part"
+#: Coded items whose scores are summed at once.
+_TABLE_STRIPE = 256
 
 
 def lookup_part(item_id: str, parts: int) -> Column:
@@ -214,11 +216,16 @@ class TableScores(Products):
         return np.vstack(tables)
 
     def scores(self, prepared: np.ndarray, items: np.ndarray) -> np.ndarray:
-        total = np.take(prepared, items[:, 0], axis=0)
-        entry = np.empty_like(total)
-        for column in range(1, items.shape[1]):
-            total += np.take(prepared, items[:, column], axis=0, out=entry)
-        return total.T
+        out = np.empty((prepared.shape[1], len(items)))
+        # Few items at once, so that sums stay in the processor cache.
+        for at in range(0, len(items), _TABLE_STRIPE):
+            part = items[at : at + _TABLE_STRIPE]
+            total = np.take(prepared, part[:, 0], axis=0, mode="clip")
+            entry = np.empty_like(total)
+            for column in range(1, items.shape[1]):
+                total += np.take(prepared, part[:, column], axis=0, out=entry, mode="clip")
+            out[:, at : at + len(part)] = total.T
+        return out
 
 
 class HalfCodec:

@@ -35,12 +35,16 @@ BROADCAST_QUERY_BYTES = 128 << 20
 PRUNED_GROUPS = 1_000
 MERGE_ABOVE = 4
 BROADCAST_GROUPS = 65_536
-QUERY_BLOCK_ROWS = 16_384
+QUERY_BLOCK_ROWS = 65_536
 ITEM_BLOCK_ROWS = 131_072
 MIN_ITEM_BLOCK_ROWS = 2_048
-BLOCK_BYTES = 256 << 20
+#: Rows that a task returns at most, for all queries of its block.
+RESULT_ROWS = 2 << 20
+BLOCK_BYTES = 128 << 20
+#: Entries of a query stripe are trimmed above so many times its results.
+TRIM_ABOVE = 3
 _QUERY_STRIPE = 256
-_ITEM_STRIPE = 8_192
+_ITEM_STRIPE = 4096
 _RANK_BITS = 24
 
 Decoder = Callable[[pa.Table], np.ndarray]
@@ -60,40 +64,85 @@ def _ids(column) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False))
 
 
+class _Best:
+    """The k best items of every query of a stripe; items come in ascending order of their ids.
+
+    An entry is one integer that orders by score, then by position (= ascending id). Once every query has k,
+    only items above its floor are taken up, and the floors rise whenever the entries are trimmed.
+    """
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.rows, self.keys = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.floor = 0, None
+
+    def add(self, raw: np.ndarray, first: int) -> None:
+        """Scores of all queries and the items from position ``first`` on; the matrix is changed."""
+        raw *= SCORE_SCALE
+        keep = min(self.k, raw.shape[1])
+        rows = None if self.floor is None else np.flatnonzero(raw > self.floor[:, None])
+        if rows is None or len(rows) > 4 * keep * self.queries:
+            ranked = np.rint(raw).astype(np.int64) << _RANK_BITS
+            ranked -= np.arange(first, first + raw.shape[1])
+            if keep < raw.shape[1]:
+                ranked = np.partition(ranked, raw.shape[1] - keep, axis=1)[:, raw.shape[1] - keep :]
+            rows, keys = np.repeat(np.arange(self.queries), keep), ranked.ravel()
+        else:
+            rows, at = np.divmod(rows, raw.shape[1])
+            keys = (np.rint(raw[rows, at]).astype(np.int64) << _RANK_BITS) - (at + first)
+        self.waiting.append((rows, keys))
+        self.held += len(rows)
+        if self.floor is None or self.held > TRIM_ABOVE * self.k * self.queries:
+            self.trim()
+
+    def trim(self) -> None:
+        rows = np.concatenate([self.rows, *(r for r, _ in self.waiting)])
+        keys = np.concatenate([self.keys, *(x for _, x in self.waiting)])
+        order = np.lexsort((-keys, rows))
+        rows, keys = rows[order], keys[order]
+        count = np.bincount(rows, minlength=self.queries)
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+        kept = place < self.k
+        self.rows, self.keys, self.waiting = rows[kept], keys[kept], []
+        last = self.keys[place[kept] == self.k - 1]
+        self.held = len(self.rows)
+        if len(last) == self.queries:
+            self.floor = self.scores(last) + 0.25
+
+    @staticmethod
+    def scores(keys: np.ndarray) -> np.ndarray:
+        return -(-keys >> _RANK_BITS)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, rounded score and item position of the best, by query, the best first."""
+        self.trim()
+        score = self.scores(self.keys)
+        return self.rows, score, (score << _RANK_BITS) - self.keys
+
+
 def _block_top(items, item_ids, queries, query_rows, k, scorer=Products()) -> pd.DataFrame:
     """Best k items of one block for each query; ties go to the smaller id.
 
     Stripes keep the score matrix inside the processor cache. The first item
     stripe sets a floor per query; later stripes, which hold larger ids, only
-    contribute items that score above it.
+    contribute items that score above it. No stripe of queries holds more than a few times its results.
     """
     order = np.argsort(item_ids, kind="stable")
-    item_ids, items = item_ids[order], items[order]
+    if (order[1:] < order[:-1]).any():
+        item_ids, items = item_ids[order], items[order]
     found = []
     for q_at in range(0, len(queries), _QUERY_STRIPE):
         stripe = queries[q_at : q_at + _QUERY_STRIPE]
-        prepared, floor = scorer.prepare(stripe), None
+        prepared, best = scorer.prepare(stripe), _Best(len(stripe), k)
         for i_at in range(0, len(items), _ITEM_STRIPE):
-            part = items[i_at : i_at + _ITEM_STRIPE]
-            raw = scorer.scores(prepared, part)
-            raw *= SCORE_SCALE
-            keep = min(k, part.shape[0])
-            rows, at = (None, None) if floor is None else np.nonzero(raw > floor[:, None])
-            if rows is None or len(rows) > 4 * keep * len(stripe):
-                # One integer orders by score, then by position (= ascending id).
-                ranked = np.rint(raw).astype(np.int64) << _RANK_BITS
-                ranked -= np.arange(part.shape[0])
-                at = np.argpartition(ranked, part.shape[0] - keep, axis=1)[:, part.shape[0] - keep :]
-                rows = np.repeat(np.arange(len(stripe)), keep)
-                at = at.ravel()
-                if floor is None and keep == k:
-                    kept = raw[rows, at].reshape(len(stripe), keep)
-                    floor = np.rint(kept.min(axis=1)) + 0.25
-            found.append((query_rows[rows + q_at], np.rint(raw[rows, at]).astype(np.int64), item_ids[i_at + at]))
+            best.add(scorer.scores(prepared, items[i_at : i_at + _ITEM_STRIPE]), i_at)
+        rows, score, at = best.result()
+        found.append((query_rows[rows + q_at], score, item_ids[at]))
     if not found:
         return pd.DataFrame()
     row, score, item = (np.concatenate(column) for column in zip(*found))
-    return _trim(pd.DataFrame({"row": row, "score": score, "item": item}), k)
+    return pd.DataFrame({"row": row, "score": score, "item": item})
 
 
 def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -265,10 +314,15 @@ def _blocked(
     queries, items, group, query_id, item_id, schema, names, types,
     query_matrix, item_matrix, width, query_vector, scorer,
 ) -> DataFrame:
-    """Score a grid of (query block, item block) pairs per group."""
+    """Score a grid of (query block, item block) pairs per group.
+
+    Items are cut as little as memory allows, because every further item block gives each query k more
+    candidates; more tasks come from smaller query blocks, which only copy items.
+    """
     first = queries.select(F.size(query_vector)).first()
     per_block = max(1_024, BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
-    query_rows, item_rows = min(QUERY_BLOCK_ROWS, per_block), min(ITEM_BLOCK_ROWS, per_block)
+    query_rows = min(QUERY_BLOCK_ROWS, per_block, max(_QUERY_STRIPE, RESULT_ROWS // width))
+    item_rows = min(ITEM_BLOCK_ROWS, per_block)
     cores = queries.sparkSession.sparkContext.defaultParallelism
     if group:
         queries = queries.filter(F.col(group[0]).isNotNull())
@@ -280,17 +334,21 @@ def _blocked(
         known = sizes.limit(BROADCAST_GROUPS + 1).toArrow()
         if known.num_rows <= BROADCAST_GROUPS:
             sizes = F.broadcast(queries.sparkSession.createDataFrame(known, sizes.schema))
-            total = sum(known.column("_i").to_pylist())
+            asked, held = (known.column(c).to_pylist() for c in ("_q", "_i"))
         else:
-            total = ITEM_BLOCK_ROWS * cores
+            asked, held = [QUERY_BLOCK_ROWS] * cores, [ITEM_BLOCK_ROWS] * cores
         # toDF gives each use its own column ids, so the sides stay unambiguous.
         left, right = (f.join(sizes.toDF(*sizes.columns), group) for f in (queries, items))
     else:
-        total = items.count()
-        counts = {"_q": F.lit(queries.count()), "_i": F.lit(total)}
+        asked, held = [queries.count()], [items.count()]
+        counts = {"_q": F.lit(asked[0]), "_i": F.lit(held[0])}
         left, right = queries.withColumns(counts), items.withColumns(counts)
-    # A few blocks per core even out hashing; none is larger than its bound.
-    item_rows = min(item_rows, max(MIN_ITEM_BLOCK_ROWS, total // (3 * cores)))
+    # A few tasks per core even out hashing; items are cut for them only where queries are too few.
+    tasks, finest = 3 * cores, sum(-(-q // _QUERY_STRIPE) for q in asked)
+    if finest < tasks:
+        item_rows = min(item_rows, max(MIN_ITEM_BLOCK_ROWS, sum(held) * finest // tasks))
+    scans = sum(q * max(1, -(-i // item_rows)) for q, i in zip(asked, held))
+    query_rows = min(query_rows, max(_QUERY_STRIPE, scans // tasks))
 
     def blocks(frame):
         def count(rows, limit):

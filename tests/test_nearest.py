@@ -116,3 +116,37 @@ def test_floor_keeps_every_better_item(monkeypatch):
             want = sorted(zip(-scores[q], ids))[:5]
             mine = got[got["row"] == q]
             assert list(zip(-mine["score"], mine["item"])) == want
+
+
+def test_items_are_not_cut_when_queries_give_enough_tasks(spark):
+    """Each item block gives every query k candidates, so their number must not follow the cores."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(7_000, 4)))]
+    items = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = items.select(F.col("id").alias("qid"), F.col("embedding").alias("query_embedding"))
+    made = nearest(queries, items, 5, query_id="qid", item_id="id", strategy="blocks")
+    assert made.count() == 5 * 7_000
+    fields = [made.schema[c] for c in ("qid", "id", "score")]
+    candidates = nearest_module._blocked(
+        queries, items, [], "qid", "id", nearest_module.T.StructType(fields), [f.name for f in fields],
+        nearest_module._arrow_types(fields),
+        lambda t: nearest_module.unit_rows(nearest_module.to_matrix(t.column("query_embedding"))),
+        lambda t: nearest_module.unit_rows(nearest_module.to_matrix(t.column("embedding"))),
+        5, "query_embedding", nearest_module.Products(),
+    )
+    assert candidates.count() == 5 * 7_000
+
+
+def test_a_stripe_holds_a_few_times_its_results():
+    """Random scores enter slowly once floors rise with every trim."""
+    rng = np.random.default_rng(6)
+    best, scores = nearest_module._Best(20, 50), rng.normal(size=(20, 40_000))
+    most = 0
+    for at in range(0, 40_000, 1_000):
+        best.add(scores[:, at : at + 1_000].copy(), at)
+        most = max(most, best.held)
+    rows, _, found = best.result()
+    rounded = np.rint(scores * nearest_module.SCORE_SCALE)
+    for row in range(20):
+        assert found[rows == row].tolist() == sorted(range(40_000), key=lambda i: (-rounded[row, i], i))[:50]
+    assert most <= 2 * nearest_module.TRIM_ABOVE * 50 * 20
