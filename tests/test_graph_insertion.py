@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
 from lodestone.operators.ann import build_index
 from lodestone.operators.graph import diverse
 from lodestone.operators.metrics import result_overlap
@@ -72,3 +73,19 @@ def test_appending_nothing(spark, items, tmp_path):
     before = lists(load_index(spark, path))
     append_items(spark, path, items.filter("vec_id < 0"))
     assert lists(load_index(spark, path)) == before and load_index(spark, path).items.count() == 20
+
+
+def test_many_queries_walk_in_batches(spark, items, monkeypatch):
+    """Batches share their query vectors as variables, so no join moves a vector for every pair; results stay."""
+    index = build_index(items, "hnsw", item_id="vec_id", hnsw_m=8, hnsw_ef_search=32)
+    whole = index.search(as_queries(items), 10, own="language").collect()
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 20_000)
+    shared, sizes = graph._shared_queries, []
+
+    def counted(asked):
+        sizes.append(asked.count())
+        return shared(asked)
+
+    monkeypatch.setattr(graph, "_shared_queries", counted)
+    assert sorted(index.search(as_queries(items), 10, own="language").collect()) == sorted(whole)
+    assert len(sizes) > 1 and sum(sizes) == 260
