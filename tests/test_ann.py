@@ -161,3 +161,18 @@ def test_refining_needs_vectors(items):
         index.search(as_queries(items), 5, refine=4)
     with pytest.raises(ValueError, match="at least 1"):
         index.search(as_queries(items), 5, refine=0)
+
+
+def test_trained_codes_give_as_many_candidates_as_they_need(spark):
+    """Two candidates for a result are far too few for codes of four bits; a sample of the items shows it."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(800, 8)))]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    queries = items.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    truth = nearest(queries, items, 10, query_id="query_id", item_id="vec_id")
+    index = build_index(items, "pq", item_id="vec_id", pq_m=2, pq_bits=2)
+    found = index.search(queries, 10, refine=2)
+    assert result_overlap(truth, found, item_id="vec_id").first()["recall"] >= 0.9
+    given = build_index(items, "pq", item_id="vec_id", codebooks=index.codec.codebooks)
+    plain = given.search(queries, 10, refine=2)
+    assert result_overlap(truth, plain, item_id="vec_id").first()["recall"] < 0.9
