@@ -98,3 +98,27 @@ def test_known_components_are_not_compared_again():
     forest = simhash.Forest()
     forest.join(10, 11)
     assert list(near_copies.similar(sets, None, 0.8, forest, [10, 11, 12, 13], [])) == [(10, 12)]
+
+
+def test_fingerprints_propose_pairs_for_the_exact_check(spark, monkeypatch):
+    """Close copies reach the exact check by the index of fingerprints too, not by bands alone."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words + ["end"]), " ".join(f"x{i}" for i in range(50)), "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes, _, prints = near_copies.signatures([(t or "").encode() for t in texts], 5)
+    assert prints[:3] == simhash.fingerprints([t.encode() for t in texts[:3]], 5)[0].tolist()
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and prints[3:] == [None, None]
+    star, seen = near_copies.star_links, []
+
+    def spied(members, *rest):
+        seen.append({(r["a"], r["node"]) for r in members.where("node <> a").collect()})
+        return star(members, *rest)
+
+    rays = near_copies.fingerprint_rays(spark.createDataFrame(list(zip(nodes, prints)), "node long, fingerprint long"))
+    assert [(r["a"], r["node"]) for r in rays.collect()] == [(min(nodes[:2]), max(nodes[:2]))]
+    monkeypatch.setattr(near_copies, "star_links", spied)
+    monkeypatch.setattr(near_copies, "fingerprint_rays", lambda _: rays.unionByName(spark.createDataFrame([(nodes[0], nodes[2])], "a long, node long")))
+    found = near_copies.with_component(frame, "doc_id", "text", 5, 0.8).collect()
+    assert (nodes[0], nodes[2]) in seen[0]
+    same = {r["doc_id"]: r["component"] for r in found}
+    assert same[0] == same[1] != same[2] and same[3] == same[4]
