@@ -197,3 +197,15 @@ def test_report():
            "start_line": 1, "end_line": 2, "source_code": "x\ny", "reranker_score": None}
     assert "<anonymous>" in format_result(1, row) and "Lines:     1–2" in format_result(1, row)
     assert "Languages:  go" in format_index_summary("p", 1000, 8, ["go"])
+
+
+def test_an_embedder_remembers_a_bounded_number_of_tokens():
+    """What a worker keeps must not grow to tens of MB with the vocabulary of the corpus."""
+    import pyarrow as pa
+
+    from lodestone.functions.models import HashingEmbedder
+
+    embedder = HashingEmbedder(64)
+    for at in range(0, 50_000, 1_000):
+        embedder.embed_documents(pa.array([" ".join(f"t{i}" for i in range(at, at + 1_000))]))
+    assert embedder._bucket.cache_info().currsize <= 1 << 15
