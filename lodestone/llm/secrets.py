@@ -65,15 +65,19 @@ TARGET = re.compile(
         [ \t]*(?P<op>:=|=>|\+=|\?\?=|\|\|=|=(?![=~>])|:(?![:=]))[ \t]*""",
     re.VERBOSE | re.ASCII,
 )
-#: A quoted literal with an optional prefix, or a bare one, which ends before an operator of assignment.
-VALUE = re.compile(
+#: A quoted literal with an optional prefix.
+QUOTED = re.compile(
     r"""(?:[A-Za-z]{1,2}(?=["']))?(?:"""
     r"""\"\"\"(?P<triple>(?:[^"\\]|\\.|"(?!""))*)\"\"\"|\'\'\'(?P<three>(?:[^'\\]|\\.|'(?!''))*)\'\'\'|"""
-    r""""(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`)"""
-    r"""|(?P<bare>[^\s"'`,;(){}\[\]<>#]+)""",
+    r""""(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`)""",
     re.ASCII | re.DOTALL,
 )
-GROUPS = ("triple", "three", "double", "single", "back", "bare")
+GROUPS = ("triple", "three", "double", "single", "back")
+#: A bare literal: a name up to a plus, or else all up to a space, quote, bracket or mark of punctuation.
+BARE = re.compile(
+    r"""\$?[A-Za-z_][A-Za-z0-9_.]*(?=[+\s"'`,;(){}\[\]<>#]|\Z)|[^\s"'`,;(){}\[\]<>#]+""",
+    re.ASCII,
+)
 #: Another operand behind a literal: the whole text is what the name holds.
 PLUS = re.compile(r"[ \t]*(?:\\?\n[ \t]*)?(?:\+(?!=)|\.\.|\.(?=[ \t\"'$]))[ \t]*(?:\\?\n[ \t]*)?")
 IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?$", re.ASCII)
@@ -123,25 +127,24 @@ def assigns(text: str, target: re.Match) -> bool:
 def operands(text: str, at: int) -> tuple[list[Operand], int]:
     """The operands of a concatenation that starts at ``at``, and where scanning goes on."""
     found: list[Operand] = []
-    while (value := VALUE.match(text, at)) is not None:
-        group = next(g for g in GROUPS if value[g] is not None)
-        start, end = value.span(group)
-        if group != "bare":
-            found.append(Operand(start, end, value[group], True))
-            at = value.end()
+    while True:
+        if (value := QUOTED.match(text, at)) is not None:
+            group = next(g for g in GROUPS if value[g] is not None)
+            found.append(Operand(*value.span(group), value[group], True))
         else:
-            target = TARGET.match(text, start)
+            # Before the bare token is read: in a chain of names without spaces it reaches to the end of the chain.
+            target = TARGET.match(text, at)
             if target is not None and assigns(text, target):
-                return found, start  # a name with a value of its own
-            literal = value[group].split("+")[0] if IDENTIFIER.match(value[group].split("+")[0]) else value[group]
-            at = start + len(literal)
-            literal = literal.rstrip(".:!?")
-            found.append(Operand(start, start + len(literal), literal, False))
+                return found, at  # a name with a value of its own
+            if (value := BARE.match(text, at)) is None:
+                return found, at
+            literal = value[0].rstrip(".:!?")
+            found.append(Operand(at, at + len(literal), literal, False))
+        at = value.end()
         joined_on = PLUS.match(text, at)
         if joined_on is None:
             return found, at
         at = joined_on.end()
-    return found, at
 
 
 def assignments(text: str) -> list[tuple[str, list[Operand]]]:

@@ -47,3 +47,10 @@ def test_long_texts_take_linear_time():
         began = time.process_time()
         secrets.assigned_literals(piece * 20_000, secrets.SecretRules())
         assert time.process_time() - began < 5, piece
+
+
+@pytest.mark.parametrize("piece", ["a=", "token=a+"])
+def test_chains_without_spaces_take_linear_time(piece):
+    began = time.process_time()
+    secrets.assigned_literals(piece * 40_000, secrets.SecretRules())
+    assert time.process_time() - began < 5
