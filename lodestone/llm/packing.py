@@ -93,7 +93,7 @@ class WordTokens:
     they are read as text like any other.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS, special_as_text: bool = True) -> None:
+    def __init__(self, path: str, cached: int = CACHED_WORDS, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -243,7 +243,7 @@ def word_tokens(path: str | None = None) -> WordTokens:
 
         path = public_tokenizers.path(TOKENIZER)
     if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path, special_as_text=False)
+        _TOKENS[path] = WordTokens(path)
     return _TOKENS[path]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing
@@ -21,3 +22,14 @@ def test_added_tokens_are_encoded_as_the_file_says(spark):
     for r in packing.packed(frame).orderBy("doc_id", "start").collect():
         got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_special_tokens_are_text_on_request_only():
+    path, text = public_tokenizers.path(packing.TOKENIZER), "Hello <|endoftext|> world"
+    plain = Tokenizer.from_file(path)
+    for special_as_text in (False, True):
+        plain.encode_special_tokens = special_as_text
+        options = {"special_as_text": True} if special_as_text else {}
+        ids, lengths = packing.WordTokens(path, **options).encoded(pa.array([text]), 1)
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+        assert lengths.tolist() == [len(ids)] and (49407 in ids) != special_as_text
