@@ -150,3 +150,18 @@ def test_a_stripe_holds_a_few_times_its_results():
     for row in range(20):
         assert found[rows == row].tolist() == sorted(range(40_000), key=lambda i: (-rounded[row, i], i))[:50]
     assert most <= 2 * nearest_module.TRIM_ABOVE * 50 * 20
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_blocks_take_any_column_names(spark, grouped):
+    """The graph names its queries _q; the grid's own columns must not meet those names."""
+    items, data = make_vectors(spark, n=60)
+    items = items.withColumnRenamed("id", "_i")
+    queries = items.select(F.col("_i").alias("_q"), F.col("embedding").alias("_qb"), "grp")
+    got = nearest(
+        queries if grouped else queries.drop("grp"), items.withColumnRenamed("embedding", "_ib"), 5, query_id="_q",
+        query_vector="_qb", item_id="_i", item_vector="_ib", on="grp" if grouped else None, strategy="blocks",
+    )
+    groups = [r["grp"] for r in items.orderBy("_i").collect()]
+    same = (lambda q, i: groups[q] == groups[i]) if grouped else None
+    assert collected(got, "_q", "_i") == brute_force(list(range(60)), data, range(60), 5, same)
