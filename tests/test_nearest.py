@@ -165,3 +165,53 @@ def test_blocks_take_any_column_names(spark, grouped):
     groups = [r["grp"] for r in items.orderBy("_i").collect()]
     same = (lambda q, i: groups[q] == groups[i]) if grouped else None
     assert collected(got, "_q", "_i") == brute_force(list(range(60)), data, range(60), 5, same)
+
+
+@pytest.mark.parametrize("kind", ["vectors", "signs", "codes", "cells"])
+def test_only_items_that_may_win_are_scored_in_double_precision(monkeypatch, kind):
+    """Products in single precision leave few pairs; the result is that of all scores, ties included."""
+    from lodestone.operators.ann import PqCodec, SignScores, TableScores
+
+    monkeypatch.setattr(nearest_module, "_ITEM_STRIPE", 64)
+    monkeypatch.setattr(nearest_module, "RUN_BYTES", 4 * 64 * 12 * 5)
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.normal(size=(3_000, 12)), rng.normal(size=(40, 12))
+    vectors[:600] = vectors[0]
+    items, scorer = vectors, nearest_module.Products()
+    if kind == "signs":
+        queries, scorer = np.sign(queries), SignScores(12)
+        items = np.packbits(vectors > 0, axis=1)
+    elif kind != "vectors":
+        books, centroids = rng.normal(size=(4, 16, 3)), rng.normal(size=(5, 12)) if kind == "cells" else None
+        scorer = TableScores(books, centroids)
+        items = scorer.places(PqCodec(books).encode(vectors), None if centroids is None else rng.integers(0, 5, 3_000))
+    ids = rng.permutation(3_000)
+    scores = np.rint(scorer.scores(scorer.prepare(queries), items) * nearest_module.SCORE_SCALE).astype(int)
+    whole, scored = scorer.scores, []
+    monkeypatch.setattr(scorer, "scores", lambda p, i: scored.append(len(i)) or whole(p, i), raising=False)
+    got = nearest_module._block_top(items, ids, queries, np.arange(40), 7, scorer)
+    for q in range(40):
+        mine = got[got["row"] == q]
+        assert list(zip(-mine["score"], mine["item"])) == sorted(zip(-scores[q], ids))[:7]
+    assert sum(scored) < 1_000
+
+
+def test_overlap_by_kind_runs_no_search_twice(spark):
+    from lodestone.operators.metrics import result_overlap
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = [(q, i, i + 1) for q in range(4) for i in range(3)]
+    truth = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int").coalesce(1)
+    found = truth.filter("chunk_id < 2").withColumn("kind", F.lit("a")).unionByName(
+        truth.selectExpr("query_id", "chunk_id + 9 as chunk_id", "rank", "'b' as kind")
+    )
+    truth, found = (f.mapInArrow(counted, f.schema) for f in (truth, found))
+    got = result_overlap(truth, found, k=3, by="kind").orderBy("kind").collect()
+    assert [(r["kind"], r["hits"], r["expected"]) for r in got] == [("a", 8, 12), ("b", 0, 12)]
+    assert runs.value == 12 + 20
