@@ -89,3 +89,10 @@ def test_many_queries_walk_in_batches(spark, items, monkeypatch):
     monkeypatch.setattr(graph, "_shared_queries", counted)
     assert sorted(index.search(as_queries(items), 10, own="language").collect()) == sorted(whole)
     assert len(sizes) > 1 and sum(sizes) == 260
+
+
+def test_walks_begin_on_a_small_layer_above_the_ground(spark):
+    """All of that layer is scored, so the layers above it need no rounds; the ground is always walked."""
+    sizes = {("a", 0): 90, ("a", 1): 7, ("a", 2): 2, ("b", 0): 3}
+    nodes = spark.createDataFrame([k for k, n in sizes.items() for _ in range(n)], "_g string, level int")
+    assert graph._tops(nodes) == {"a": (2, 1), "b": (0, 0)}
