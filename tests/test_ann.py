@@ -176,3 +176,25 @@ def test_trained_codes_give_as_many_candidates_as_they_need(spark):
     given = build_index(items, "pq", item_id="vec_id", codebooks=index.codec.codebooks)
     plain = given.search(queries, 10, refine=2)
     assert result_overlap(truth, plain, item_id="vec_id").first()["recall"] < 0.9
+
+
+def test_codebooks_of_all_sub_spaces_are_trained_together(spark, monkeypatch):
+    """No run of k-means for each sub-space: a pass moves all codewords to the means of the rows nearest to them."""
+    from lodestone.operators import ann
+
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(900, 12)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "_kmeans", lambda *a: pytest.fail("one run for a sub-space"))
+    moved, passes = ann._moved, []
+    monkeypatch.setattr(ann, "_moved", lambda *a: passes.append(1) or moved(*a))
+    books = ann.train_codebooks(rows, 6, 3)
+    assert books.shape == (6, 8, 2) and len(passes) <= ann.MOST_PASSES
+    held = moved(rows, books, "embedding")
+    codes = PqCodec(books).encode(data.astype(float))
+    for part in range(6):
+        for word in range(8):
+            own = data[codes[:, part] == word, 2 * part : 2 * part + 2]
+            assert np.allclose(held[part, word], own.mean(axis=0) if len(own) else books[part, word])
+    copies = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0]) for i in range(5)], "vec_id long, embedding array<float>")
+    assert np.allclose(ann.train_codebooks(copies, 2, 2), [[[1, 2]] * 4, [[3, 4]] * 4])
